@@ -63,18 +63,18 @@ QUERIES: dict[str, Query] = {
     "raw_sample": _over(audit.raw_sample, *COLUMNS),
     "sample_profile": _over(audit.sample_profile, *COLUMNS),
     # whole-table profiles
-    "dataset_overview": _over(audit.dataset_overview, *PAID, *DATES),
-    "dataset_overview_basic": _over(audit.dataset_overview_basic, *PAID, *DATES),
+    "dataset_overview": _over(audit.dataset_overview, *PAID, "transaction_date"),
+    "dataset_overview_basic": _over(audit.dataset_overview_basic, *PAID, "transaction_date"),
     "dataset_coverage": _over(audit.dataset_coverage, "transaction_date", "transaction_id", "product_id"),
     "transaction_id_excess": _over(
         audit.transaction_id_excess, "transaction_date", "transaction_id", "product_id"
     ),
-    "payment_sign_counts": _over(audit.payment_sign_counts, *PAID, *DATES),
-    "financial_anomalies": _over(audit.financial_anomalies, *PAID, *DATES),
-    "financial_anomaly_counts": _over(audit.financial_anomaly_counts, *PAID, *DATES),
-    "financial_anomalies_nonneg": _over(audit.financial_anomalies_nonneg, *PAID, *DATES),
-    "payment_statistics": _over(audit.payment_statistics, *PAID, *DATES),
-    "payment_analysis": _over(audit.payment_analysis, *PAID, *DATES),
+    "payment_sign_counts": _over(audit.payment_sign_counts, *PAID),
+    "financial_anomalies": _over(audit.financial_anomalies, *PAID),
+    "financial_anomaly_counts": _over(audit.financial_anomaly_counts, *PAID),
+    "financial_anomalies_nonneg": _over(audit.financial_anomalies_nonneg, *PAID),
+    "payment_statistics": _over(audit.payment_statistics, *PAID),
+    "payment_analysis": _over(audit.payment_analysis, *PAID),
     "date_consistency": _over(audit.date_consistency, *PAID, *DATES),
     "date_consistency_future": _over(audit.date_consistency_future, *PAID, *DATES, as_of=AS_OF),
     "date_consistency_full": _over(audit.date_consistency_full, *PAID, *DATES, as_of=AS_OF),
@@ -200,14 +200,14 @@ QUERIES: dict[str, Query] = {
         *PAID,
     ),
     # findings
-    "row_count_reconciliation": _over(audit.row_count_reconciliation, *PAID, *DATES),
+    "row_count_reconciliation": _over(audit.row_count_reconciliation, *PAID),
     "business_issues": _over(
         audit.business_issues,
         "primary_ticket_id",
         "subscription_instance_id",
         "transaction_id",
+        "transaction_date",
         *PAID,
-        *DATES,
         as_of=AS_OF,
     ),
     "executive_kpis": _over(
@@ -215,11 +215,11 @@ QUERIES: dict[str, Query] = {
         "primary_ticket_id",
         "subscription_instance_id",
         "transaction_id",
+        "transaction_date",
         *PAID,
-        *DATES,
         as_of=AS_OF,
     ),
-    "audit_flags": _over(audit.audit_flags, "primary_ticket_id", "is_hospitality", *PAID, *DATES),
+    "audit_flags": _over(audit.audit_flags, "primary_ticket_id", "is_hospitality", *PAID),
     "quality_scorecard": _over(
         audit.quality_scorecard, *ITEM_IDENTIFIERS, *PAID, *DATES, as_of=AS_OF
     ),
@@ -227,10 +227,10 @@ QUERIES: dict[str, Query] = {
         audit.executive_summary, *ITEM_IDENTIFIERS, *PAID, *DATES, as_of=AS_OF
     ),
     "audit_summary": _over(
-        audit.audit_summary, "transaction_id", "product_id", "product_type", *CHANNEL, *DATES
+        audit.audit_summary, "transaction_id", "product_id", "product_type", "transaction_date", *CHANNEL
     ),
     # chart data and report tables
-    "payment_percentiles_long": _over(audit.payment_percentiles_long, *PAID, *DATES),
+    "payment_percentiles_long": _over(audit.payment_percentiles_long, *PAID),
     "chart_series": _over(audit.chart_series, *COLUMNS),
     "report_product": _over(audit.report_product, *PRODUCT),
     "report_channel": _over(audit.report_channel, *CHANNEL),

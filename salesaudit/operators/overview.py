@@ -28,18 +28,26 @@ def moment(value: str | datetime) -> Column:
 def table_facts(sales: DataFrame, as_of: str | datetime | None = None) -> DataFrame:
     """One row with every whole-table count, sum and bound.
 
+    Facts about a date column that the table does not have are left out.
     ``as_of`` is the time after which a transaction lies in the future; without
     it nothing does.
     """
-    paid, sold, touched = F.col("total_payment"), F.col("transaction_date"), F.col("last_touched_at")
-    in_future = sold > moment(as_of) if as_of is not None else F.lit(False)
+    facts = [F.count(F.lit(1)).alias("total_rows"), *_payment_facts()]
+    if "transaction_date" in sales.columns:
+        facts += _date_facts(as_of)
+    if "last_touched_at" in sales.columns:
+        facts.append(F.count_if(F.col("last_touched_at").isNull()).alias("missing_last_touched_at"))
+    if {"transaction_date", "last_touched_at"} <= set(sales.columns):
+        late = F.col("transaction_date") > F.col("last_touched_at")
+        facts.append(F.count_if(late).alias("transaction_after_last_touch"))
+    return sales.agg(*facts)
+
+
+def _payment_facts() -> list[Column]:
+    paid = F.col("total_payment")
     over = {limit: paid > F.lit(limit) for limit in THRESHOLDS}
-    return sales.agg(
-        F.count(F.lit(1)).alias("total_rows"),
+    return [
         F.count(paid).alias("rows_with_payment"),
-        F.count(sold).alias("rows_with_transaction_date"),
-        F.min(sold).alias("earliest_transaction"),
-        F.max(sold).alias("latest_transaction"),
         F.sum(paid).alias("revenue"),
         F.min(paid).alias("minimum_payment"),
         F.max(paid).alias("maximum_payment"),
@@ -52,12 +60,20 @@ def table_facts(sales: DataFrame, as_of: str | datetime | None = None) -> DataFr
         F.sum(F.when(paid < 0, paid)).alias("negative_payment_value"),
         F.sum(F.when(paid == 0, paid)).alias("zero_payment_value"),
         F.sum(F.when(over[100_000], paid)).alias("payments_over_100000_value"),
+    ]
+
+
+def _date_facts(as_of: str | datetime | None) -> list[Column]:
+    sold = F.col("transaction_date")
+    in_future = sold > moment(as_of) if as_of is not None else F.lit(False)
+    return [
+        F.count(sold).alias("rows_with_transaction_date"),
+        F.min(sold).alias("earliest_transaction"),
+        F.max(sold).alias("latest_transaction"),
         F.count_if(sold.isNull()).alias("missing_transaction_date"),
-        F.count_if(touched.isNull()).alias("missing_last_touched_at"),
-        F.count_if(sold > touched).alias("transaction_after_last_touch"),
         F.count_if(sold < moment(EARLIEST_PLAUSIBLE)).alias("transaction_before_2010"),
         F.count_if(in_future).alias("transaction_in_future"),
-    )
+    ]
 
 
 def _money(name: str) -> Column:
