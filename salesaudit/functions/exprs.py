@@ -47,12 +47,9 @@ def is_blank(column: Column) -> Column:
     return F.trim(column) == ""
 
 
-def is_missing(df: DataFrame, name: str) -> Column:
-    """NULL, or for a text column also blank."""
-    column = named(name)
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return column.isNull() | is_blank(column)
-    return column.isNull()
+def is_missing(column: Column) -> Column:
+    """NULL or blank text."""
+    return column.isNull() | is_blank(column)
 
 
 def is_present(column: Column) -> Column:
@@ -166,6 +163,7 @@ def attach(df: DataFrame, **one_row: DataFrame) -> DataFrame:
 
     Each one becomes a scalar subquery, so nothing is joined and Spark reuses
     the shuffles both sides have in common. A frame with no row gives NULL.
+    Every column of such a frame is computed: select the needed ones first.
     """
     structs = [
         frame.select(F.struct(*map(named, frame.columns)).alias("it")).scalar().alias(alias)

@@ -11,17 +11,16 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesaudit.functions.exprs import as_double, attach, count_text, is_missing, lines
+from salesaudit.functions.exprs import as_double, attach, count_text, existing, lines, named
 from salesaudit.operators.breakdown import best_group
 from salesaudit.operators.identifiers import identifier_profile
+from salesaudit.operators.missing import missing_counts, missing_wide
 from salesaudit.operators.overview import (
-    AVERAGE,
-    REVENUE,
+    average_payment,
     dataset_coverage,
     payment_percentiles,
-    payment_sign_counts,
-    payment_statistics,
     table_facts,
+    total_revenue,
 )
 from salesaudit.sources.schema import EXPECTED_ROWS, ITEM_IDENTIFIERS
 
@@ -152,6 +151,8 @@ def business_issues(
     as_of: str | datetime | None = None,
     cap: int | None = None,
     facts: DataFrame | None = None,
+    nulls: DataFrame | None = None,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """The issue register.
 
@@ -160,12 +161,13 @@ def business_issues(
     exported list; by default all groups count. The partial-month line names
     the month of the latest sale and stays out if that month is complete.
     """
-    names = [name for name in REQUIRED_IDENTIFIERS if name in sales.columns]
-    nulls = sales.agg(
-        F.lit(True).alias("counted"), *(F.count_if(F.col(name).isNull()).alias(name) for name in names)
+    names = existing(sales, REQUIRED_IDENTIFIERS)
+    profile = profile or identifier_profile(sales, ["transaction_id"])
+    repeated = profile.where(F.col("identifier") == "transaction_id").select("repeated_values")
+    missing = (nulls or missing_counts(sales)).select(
+        F.lit(True).alias("counted"), *(named(f"null {name}").alias(name) for name in names)
     )
-    repeated = identifier_profile(sales, ["transaction_id"]).select("repeated_values")
-    row = attach(facts or table_facts(sales, as_of), missing=nulls, duplicates=repeated)
+    row = attach(facts or table_facts(sales, as_of), missing=missing, duplicates=repeated)
 
     latest = F.col("latest_transaction")
     month = F.date_format(latest, "MMMM yyyy")
@@ -214,18 +216,19 @@ def executive_kpis(
     as_of: str | datetime | None = None,
     facts: DataFrame | None = None,
     issues: DataFrame | None = None,
+    median: DataFrame | None = None,
 ) -> DataFrame:
-    """Nine key figures as doubles."""
+    """Nine key figures as doubles. ``median`` is a frame with that column."""
     issues = issues or business_issues(sales, expected_rows, as_of, facts=facts)
     row = attach(
         facts or table_facts(sales, as_of),
-        rank=payment_percentiles(sales, median=0.5),
+        rank=median or payment_percentiles(sales, median=0.5),
         issues=issues.agg(F.count(F.lit(1)).alias("found")),
     )
     figures = {
         "Total records": F.col("total_rows"),
         "Total revenue": F.col("revenue"),
-        "Average transaction": AVERAGE,
+        "Average transaction": average_payment(),
         "Median transaction": F.col("rank.median"),
         "Maximum transaction": F.col("maximum_payment"),
         "Zero-payment records": F.col("zero_payments"),
@@ -241,7 +244,7 @@ def audit_summary(sales: DataFrame, facts: DataFrame | None = None) -> DataFrame
     facts = facts or table_facts(sales)
     row = attach(
         facts,
-        coverage=dataset_coverage(sales),
+        coverage=dataset_coverage(sales).select("distinct_transactions"),
         rank=payment_percentiles(sales, median=0.5),
         product=best_group(sales, "product_type"),
         channel=best_group(sales, "application_channel"),
@@ -251,8 +254,8 @@ def audit_summary(sales: DataFrame, facts: DataFrame | None = None) -> DataFrame
         "coverage.distinct_transactions",
         F.col("earliest_transaction").alias("first_transaction"),
         F.col("latest_transaction").alias("last_transaction"),
-        REVENUE.alias("total_revenue"),
-        AVERAGE.alias("average_payment"),
+        total_revenue().alias("total_revenue"),
+        average_payment().alias("average_payment"),
         F.col("rank.median").alias("median_payment"),
         as_double(F.col("minimum_payment")).alias("minimum_payment"),
         as_double(F.col("maximum_payment")).alias("maximum_payment"),
@@ -279,12 +282,12 @@ def _status(good: Column, otherwise: str = "REVIEW") -> Column:
     return F.when(good, "PASS").otherwise(otherwise)
 
 
-def audit_flags(sales: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+def audit_flags(
+    sales: DataFrame, facts: DataFrame | None = None, nulls: DataFrame | None = None
+) -> DataFrame:
     """Eight flags, in their order."""
-    missing = sales.agg(
-        F.count_if(is_missing(sales, "primary_ticket_id")).alias("ticket"),
-        F.count_if(F.col("is_hospitality").isNull()).alias("hospitality"),
-    )
+    no_ticket, no_flag = "primary_ticket_id_missing", "hospitality_null"
+    missing = missing_wide(sales, nulls).select(no_ticket, no_flag)
     row = attach(facts or table_facts(sales), missing=missing)
 
     def flag(area: str, status: Column, finding: Column) -> Column:
@@ -298,10 +301,8 @@ def audit_flags(sales: DataFrame, facts: DataFrame | None = None) -> DataFrame:
         counted("Payment completeness", F.col("null_payments"), "{} NULL payment values"),
         counted("Negative payments", F.col("negative_payments"), "{} negative payment values"),
         counted("Zero payments", F.col("zero_payments"), "{} zero payment values"),
-        counted(
-            "Primary ticket ID completeness", F.col("missing.ticket"), "{} blank/NULL primary ticket IDs"
-        ),
-        counted("Hospitality field", F.col("missing.hospitality"), "{} NULL hospitality values"),
+        counted("Primary ticket ID completeness", F.col(f"missing.{no_ticket}"), "{} blank/NULL primary ticket IDs"),
+        counted("Hospitality field", F.col(f"missing.{no_flag}"), "{} NULL hospitality values"),
         flag("Duplicate identifiers", F.lit("REVIEW"), F.lit(DUPLICATES_FINDING)),
         flag("Row and seat fields", F.lit("REVIEWED"), F.lit(LOCATION_FINDING)),
     ]

@@ -67,7 +67,8 @@ def _rows_where(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col("rows"))), F.lit(0).cast("bigint"))
 
 
-REPEATED_ROWS = F.col("non_null_rows") - F.col("distinct_values")
+def _repeated_rows() -> Column:
+    return F.col("non_null_rows") - F.col("distinct_values")
 
 
 def identifier_uniqueness(sales: DataFrame, profile: DataFrame | None = None) -> DataFrame:
@@ -81,7 +82,7 @@ def identifier_uniqueness(sales: DataFrame, profile: DataFrame | None = None) ->
         F.col("non_null_rows").alias("total_rows"),
         "non_null_rows",
         "distinct_values",
-        REPEATED_ROWS.alias("repeated_value_count"),
+        _repeated_rows().alias("repeated_value_count"),
     )
 
 
@@ -104,7 +105,7 @@ def duplicate_identifier_summary(sales: DataFrame, profile: DataFrame | None = N
     ``duplicate_rows`` is the number of non-NULL rows, under its reported name.
     """
     return (profile or identifier_profile(sales)).orderBy("position").select(
-        "identifier", F.col("non_null_rows").alias("duplicate_rows"), REPEATED_ROWS.alias("repeated_rows")
+        "identifier", F.col("non_null_rows").alias("duplicate_rows"), _repeated_rows().alias("repeated_rows")
     )
 
 

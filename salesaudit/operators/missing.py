@@ -1,18 +1,20 @@
 """Missing values: per column, wide and long, and by product type.
 
-Each report is one aggregate over the table, then a reshape of its one row.
+Each per-column report is one aggregate over the table, then a reshape of its
+one row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from salesaudit.functions.exprs import (
     ascending,
     count_share,
     existing,
-    is_missing,
+    is_blank,
     named,
     raw_share,
     with_optional,
@@ -84,53 +86,79 @@ def _nulls(name: str) -> Column:
     return F.count_if(named(name).isNull())
 
 
-def missing_by_column(sales: DataFrame) -> DataFrame:
+def missing_counters(sales: DataFrame) -> list[Column]:
+    """Aggregates ``null <column>``, and ``blank <column>`` for text columns."""
+    text = [f.name for f in sales.schema.fields if isinstance(f.dataType, T.StringType)]
+    return [_nulls(name).alias(f"null {name}") for name in sales.columns] + [
+        F.count_if(is_blank(named(name))).alias(f"blank {name}") for name in text
+    ]
+
+
+def missing_counts(sales: DataFrame) -> DataFrame:
+    """One row: the number of rows and every missing count.
+
+    The reports project it; Spark drops the counters a report does not use.
+    """
+    return sales.agg(_rows().alias("total_rows"), *missing_counters(sales))
+
+
+def _missing(counts: DataFrame, name: str) -> Column:
+    """NULL values, and for a text column also blank ones."""
+    nulls, blanks = named(f"null {name}"), f"blank {name}"
+    return nulls + named(blanks) if blanks in counts.columns else nulls
+
+
+def missing_by_column(sales: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """NULL count and share of every column of the table, most missing first."""
-    names = sales.columns
-    counts = sales.agg(_rows().alias("total rows"), *(_nulls(name).alias(name) for name in names))
-    long = counts.unpivot([named("total rows")], [named(n) for n in names], "column_name", "missing_count")
-    return long.select(
+    counts = counts or missing_counts(sales)
+    wide = counts.select(
+        F.col("total_rows").alias("total rows"), *(named(f"null {n}").alias(n) for n in sales.columns)
+    )
+    return _lines(wide, "column_name").select(
         "column_name",
         "missing_count",
         count_share(F.col("missing_count"), named("total rows")).alias("missing_percentage"),
-    ).orderBy(F.desc("missing_count"), "column_name")
+    )
 
 
-def missing_wide(sales: DataFrame) -> DataFrame:
+def missing_wide(sales: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Missing counts side by side; blank text counts as missing."""
-    names = existing(sales, BLANK_AWARE)
-    flag = [_nulls("is_hospitality").alias("hospitality_null")] if "is_hospitality" in sales.columns else []
-    return sales.agg(
-        _rows().alias("total_rows"),
-        *(F.count_if(is_missing(sales, name)).alias(f"{name}_missing") for name in names),
-        *flag,
-    )
+    counts = counts or missing_counts(sales)
+    columns = [_missing(counts, n).alias(f"{n}_missing") for n in existing(sales, BLANK_AWARE)]
+    if "is_hospitality" in sales.columns:
+        columns.append(named("null is_hospitality").alias("hospitality_null"))
+    return counts.select("total_rows", *columns)
 
 
-def missing_long(sales: DataFrame) -> DataFrame:
+def missing_long(sales: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """The wide report by line, with its line for the rows themselves."""
-    return _long(missing_wide(sales), "column", "missing_percentage", keep_total=True)
+    wide = missing_wide(sales, counts)
+    return _shares(wide.withColumn("total rows", F.col("total_rows")), "column", "missing_percentage")
 
 
-def missing_wide_nulls(sales: DataFrame) -> DataFrame:
+def missing_wide_nulls(sales: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """NULL counts side by side."""
+    counts = counts or missing_counts(sales)
     names = existing(sales, NULL_ONLY)
-    return sales.agg(_rows().alias("total_rows"), *(_nulls(name).alias(f"missing_{name}") for name in names))
+    return counts.select("total_rows", *(named(f"null {n}").alias(f"missing_{n}") for n in names))
 
 
-def missing_long_nulls(sales: DataFrame) -> DataFrame:
-    return _long(missing_wide_nulls(sales), "field", "missing_percent", keep_total=False)
+def missing_long_nulls(sales: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    wide = missing_wide_nulls(sales, counts).withColumnRenamed("total_rows", "total rows")
+    return _shares(wide, "field", "missing_percent")
 
 
-def _long(wide: DataFrame, label: str, share: str, keep_total: bool) -> DataFrame:
-    counts = [name for name in wide.columns if keep_total or name != "total_rows"]
-    kept = wide.select(F.col("total_rows").alias("total rows"), *map(named, counts))
-    long = kept.unpivot([named("total rows")], [named(n) for n in counts], label, "missing_count")
-    return long.select(
-        label,
-        "missing_count",
-        raw_share(F.col("missing_count"), named("total rows")).alias(share),
-    ).orderBy(F.desc("missing_count"), label)
+def _lines(wide: DataFrame, label: str) -> DataFrame:
+    """Every count but ``total rows`` as a line, most missing first."""
+    names = [name for name in wide.columns if name != "total rows"]
+    lines = wide.unpivot([named("total rows")], [named(n) for n in names], label, "missing_count")
+    return lines.orderBy(F.desc("missing_count"), label)
+
+
+def _shares(wide: DataFrame, label: str, share: str) -> DataFrame:
+    return _lines(wide, label).select(
+        label, "missing_count", raw_share(F.col("missing_count"), named("total rows")).alias(share)
+    )
 
 
 def missing_by_product_type(sales: DataFrame, total: str = "total_records") -> DataFrame:

@@ -32,6 +32,11 @@ def table_facts(sales: DataFrame, as_of: str | datetime | None = None) -> DataFr
     ``as_of`` is the time after which a transaction lies in the future; without
     it nothing does.
     """
+    return sales.agg(*fact_columns(sales, as_of))
+
+
+def fact_columns(sales: DataFrame, as_of: str | datetime | None = None) -> list[Column]:
+    """The aggregates of :func:`table_facts`."""
     facts = [F.count(F.lit(1)).alias("total_rows"), *_payment_facts()]
     if "transaction_date" in sales.columns:
         facts += _date_facts(as_of)
@@ -40,7 +45,7 @@ def table_facts(sales: DataFrame, as_of: str | datetime | None = None) -> DataFr
     if {"transaction_date", "last_touched_at"} <= set(sales.columns):
         late = F.col("transaction_date") > F.col("last_touched_at")
         facts.append(F.count_if(late).alias("transaction_after_last_touch"))
-    return sales.agg(*facts)
+    return facts
 
 
 def _payment_facts() -> list[Column]:
@@ -80,8 +85,12 @@ def _money(name: str) -> Column:
     return as_double(F.col(name)).alias(name)
 
 
-REVENUE = as_double(F.col("revenue"))
-AVERAGE = mean(F.col("revenue"), F.col("rows_with_payment"))
+def total_revenue() -> Column:
+    return as_double(F.col("revenue"))
+
+
+def average_payment() -> Column:
+    return mean(F.col("revenue"), F.col("rows_with_payment"))
 
 
 def dataset_overview(sales: DataFrame, facts: DataFrame | None = None) -> DataFrame:
@@ -91,8 +100,8 @@ def dataset_overview(sales: DataFrame, facts: DataFrame | None = None) -> DataFr
         "rows_with_transaction_date",
         "earliest_transaction",
         "latest_transaction",
-        REVENUE.alias("total_revenue"),
-        AVERAGE.alias("average_payment"),
+        total_revenue().alias("total_revenue"),
+        average_payment().alias("average_payment"),
         _money("minimum_payment"),
         _money("maximum_payment"),
         "payment_stddev",
@@ -188,7 +197,7 @@ def payment_statistics(sales: DataFrame, facts: DataFrame | None = None) -> Data
         F.col("rows_with_payment").alias("non_null_payments"),
         _money("minimum_payment"),
         "rank.*",
-        AVERAGE.alias("mean_payment"),
+        average_payment().alias("mean_payment"),
         F.col("payment_stddev").alias("payment_standard_deviation"),
         _money("maximum_payment"),
     )
@@ -200,8 +209,8 @@ def payment_analysis(sales: DataFrame, facts: DataFrame | None = None) -> DataFr
     )
     return attach(facts or table_facts(sales), rank=ranks).select(
         F.col("total_rows").alias("transaction_count"),
-        REVENUE.alias("total_revenue"),
-        AVERAGE.alias("average_payment"),
+        total_revenue().alias("total_revenue"),
+        average_payment().alias("average_payment"),
         _money("minimum_payment"),
         _money("maximum_payment"),
         "rank.*",

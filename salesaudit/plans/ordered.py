@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesaudit.functions.exprs import attach
 from salesaudit.sources.folders import frozen
 
 # Widths of the bands, widest first, in money units. Two-decimal money has at
@@ -23,19 +22,13 @@ BAND_WIDTHS = (10_000_000_000, 10_000)
 
 
 def _band(value: str, width: int) -> Column:
-    return F.floor(F.col(value) / F.lit(width)).cast("bigint")
+    """Number of the band, rising with the value.
 
-
-def _rows_before(groups: DataFrame, within: list[str], key: str) -> DataFrame:
-    """Add ``start``: rows in smaller keys, counted from ``base``."""
-    before = Window.partitionBy(*within).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return groups.withColumn("start", F.col("base") + F.coalesce(F.sum("rows").over(before), F.lit(0)))
-
-
-def _holding(groups: DataFrame) -> DataFrame:
-    """The groups that hold a wanted position: at most one per position."""
-    hit = F.exists("positions", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("rows")))
-    return groups.where(hit)
+    It is never NULL, and says so: a join on it then adds no filter to one of
+    two equal inputs, which Spark would stop sharing.
+    """
+    band = F.floor(F.col(value).cast("double") / F.lit(float(width)))
+    return F.coalesce(band.cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def percentiles(df: DataFrame, value: str, points: dict[str, float]) -> DataFrame:
@@ -44,40 +37,59 @@ def percentiles(df: DataFrame, value: str, points: dict[str, float]) -> DataFram
     ``points`` maps output names to fractions; ``value`` is two-decimal money.
     Rows shrink to (amount, count) in one shuffle. From the wide bands to the
     narrow ones to the amounts, only the groups that hold a wanted position go
-    on; there are at most two positions per point, which bounds the broadcast.
+    on: at most two per point, which bounds what is broadcast. The wide bands
+    are the one level that is counted in a single task.
     """
+    wide, narrow = BAND_WIDTHS
+    count = F.sum("rows").alias("rows")
     amounts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("amount")).agg(
         F.count(F.lit(1)).alias("rows")
     )
-    wide, narrow = BAND_WIDTHS
-    bands = amounts.groupBy(_band("amount", narrow).alias("band")).agg(F.sum("rows").alias("rows"))
-    bands = bands.withColumn("wide", F.floor(F.col("band") / F.lit(wide // narrow)).cast("bigint"))
+    bands = amounts.groupBy(_band("amount", narrow).alias("band")).agg(count)
+    bands = bands.withColumn("wide", _band("band", wide // narrow))
+
+    # positions are counted from 0 over all rows in order
+    places = {name: F.lit(point) * (F.col("total") - 1) for name, point in points.items()}
+    wanted = [end(place).cast("bigint") for place in places.values() for end in (F.floor, F.ceil)]
+
+    wides = bands.groupBy("wide").agg(count).withColumn("base", F.lit(0).cast("bigint"))
+    wides = wides.withColumn("total", F.sum("rows").over(Window.partitionBy()))
+    wides = wides.withColumn("positions", F.array_distinct(F.array(*wanted)))
+    wides = _started(wides, [], "wide").where(F.exists("positions", _held))
+    bands = _started(_into(bands, wides, "wide"), ["wide"], "band").where(F.exists("positions", _held))
+    amounts = _into(amounts.withColumn("band", _band("amount", narrow)), bands, "band")
+
+    # the one long level: exploding keeps the test in generated code
+    found = _started(amounts, ["band"], "amount").withColumn("position", F.explode("positions"))
+    found = found.where(_held(F.col("position"))).select(
+        "total", F.struct("position", F.col("amount").cast("double").alias("amount")).alias("entry")
+    )
+    found = found.agg(
+        F.max("total").alias("total"), F.map_from_entries(F.collect_list("entry")).alias("amounts")
+    )
+    return found.select(*(_interpolated(place).alias(name) for name, place in places.items()))
 
-    total = bands.agg(F.sum("rows").alias("rows"))
-    place = {name: F.lit(point) * (F.col("total.rows") - 1) for name, point in points.items()}
-    wanted = [end(p).cast("bigint") for p in place.values() for end in (F.floor, F.ceil)]
 
-    wides = attach(bands.groupBy("wide").agg(F.sum("rows").alias("rows")), total=total)
-    wides = wides.select("wide", "rows", F.lit(0).alias("base"), F.array_distinct(F.array(*wanted)).alias("positions"))
-    wides = _holding(_rows_before(wides, [], "wide")).select("wide", F.col("start").alias("base"), "positions")
+def _held(position: Column) -> Column:
+    """Whether the group's rows take that position."""
+    return (position >= F.col("start")) & (position < F.col("start") + F.col("rows"))
 
-    bands = _rows_before(bands.join(F.broadcast(wides), "wide"), ["wide"], "band")
-    bands = _holding(bands).select("band", F.col("start").alias("base"), "positions")
 
-    amounts = amounts.withColumn("band", _band("amount", narrow)).join(F.broadcast(bands), "band")
-    amounts = _holding(_rows_before(amounts, ["band"], "amount"))
+def _started(groups: DataFrame, within: list[str], key: str) -> DataFrame:
+    """Add ``start``: the position of each group's first row."""
+    before = Window.partitionBy(*within).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    return groups.withColumn("start", F.col("base") + F.coalesce(F.sum("rows").over(before), F.lit(0)))
 
-    at = F.explode(F.filter("positions", lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("rows"))))
-    found = amounts.select(at.alias("position"), F.col("amount").cast("double").alias("amount"))
-    found = found.agg(F.map_from_entries(F.collect_list(F.struct("position", "amount"))).alias("at"))
 
-    found = attach(found, total=total)
-    return found.select(*(_interpolated(p).alias(name) for name, p in place.items()))
+def _into(groups: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """The groups inside the few parents that hold a wanted position."""
+    parents = parents.select(key, F.col("start").alias("base"), "total", "positions")
+    return groups.join(F.broadcast(parents), key)
 
 
 def _interpolated(place: Column) -> Column:
-    low = F.try_element_at("at", F.floor(place).cast("bigint"))
-    high = F.try_element_at("at", F.ceil(place).cast("bigint"))
+    low = F.try_element_at("amounts", F.floor(place).cast("bigint"))
+    high = F.try_element_at("amounts", F.ceil(place).cast("bigint"))
     return low + (high - low) * (place - F.floor(place))
 
 

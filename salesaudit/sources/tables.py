@@ -9,8 +9,8 @@ from pyspark.sql.types import StructType
 
 from salesaudit.sources.schema import SALES
 
-# Text survives a round trip: NULL is an empty cell, an empty string is "",
-# and spaces at the ends of a value stay.
+# Text survives a round trip: NULL is an empty cell, an empty string is a quoted
+# empty cell, and spaces at the ends of a value stay.
 CSV = {
     "header": True,
     "nullValue": "",
@@ -20,6 +20,10 @@ CSV = {
     "ignoreTrailingWhiteSpace": False,
 }
 
+# The reader compares cells with its NULL text after unquoting, so that text
+# must not be the empty string.
+READ_CSV = {**CSV, "nullValue": "\u0000", "emptyValue": ""}
+
 YEAR_FOLDER = "sale_year"
 
 
@@ -49,7 +53,7 @@ def read_sales_csv(spark: SparkSession, path: str, multi_line: bool = False) ->
     Line breaks inside quoted text need ``multi_line``, which makes each file
     one task; without it Spark splits large files.
     """
-    reader = spark.read.schema(SALES).options(**{**CSV, "emptyValue": ""})
+    reader = spark.read.schema(SALES).options(**READ_CSV)
     return reader.option("mode", "FAILFAST").option("multiLine", multi_line).csv(path)
 
 
@@ -82,6 +86,6 @@ def save_result(result: DataFrame, folder: str, name: str, format: str = "csv")
 def read_result(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A published CSV result; no rows if it is not there."""
     try:
-        return spark.read.schema(schema).options(**{**CSV, "emptyValue": ""}).csv(path)
+        return spark.read.schema(schema).options(**READ_CSV).csv(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
