@@ -8,7 +8,6 @@ from salesaudit.operators.accounts import (
 from salesaudit.operators.breakdown import (
     application_channel_basic,
     application_channel_performance,
-    best_group,
     breakdown,
     channel_summary,
     hospitality_basic,
@@ -84,6 +83,7 @@ from salesaudit.operators.overview import (
     payment_statistics,
     table_facts,
     transaction_id_excess,
+    whole_table,
 )
 from salesaudit.operators.rows import (
     high_value_transactions,

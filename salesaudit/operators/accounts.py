@@ -47,13 +47,12 @@ def _revenue(sales: DataFrame) -> DataFrame:
     return _known(sales).groupBy(ACCOUNT).agg(F.sum("total_payment").alias("paid"))
 
 
-def _shares(accounts: DataFrame, revenue: DataFrame) -> DataFrame:
-    total = revenue.agg(F.sum("paid").alias("paid"))
-    return attach(accounts, whole=total).select(
+def _shares(accounts: DataFrame, total: str) -> DataFrame:
+    return accounts.select(
         ACCOUNT,
         as_double(F.col("paid")).alias("revenue"),
-        money_share(F.col("paid"), F.col("whole.paid")).alias("revenue_percentage"),
-        money_share(F.col("so_far"), F.col("whole.paid")).alias("cumulative_revenue_percentage"),
+        money_share(F.col("paid"), F.col(total)).alias("revenue_percentage"),
+        money_share(F.col("so_far"), F.col(total)).alias("cumulative_revenue_percentage"),
     )
 
 
@@ -67,11 +66,12 @@ def revenue_concentration(sales: DataFrame, top: int = 10_000) -> DataFrame:
     order = descending("paid") + ascending(ACCOUNT)
     so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     leading = revenue.orderBy(*order).limit(top).withColumn("so_far", F.sum("paid").over(so_far))
-    return _shares(leading.orderBy(*order), revenue)
+    leading = attach(leading.orderBy(*order), whole=revenue.agg(F.sum("paid").alias("paid")))
+    return _shares(leading, "whole.paid")
 
 
 def revenue_concentration_full(sales: DataFrame) -> DataFrame:
-    """The same for every account, by range-partitioned running sums."""
-    revenue = _revenue(sales)
+    """The same for every account, by range-partitioned running sums. Unlike
+    the other operators it runs a job: the account sums are frozen."""
     order = descending("paid") + ascending(ACCOUNT)
-    return _shares(running_sum(revenue, "paid", order, "so_far"), revenue)
+    return _shares(running_sum(_revenue(sales), "paid", order, "so_far", "total"), "total")

@@ -7,20 +7,21 @@ that row, so a whole register is one plan and nothing passes the driver.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesaudit.functions.exprs import as_double, attach, count_text, existing, lines, named
-from salesaudit.operators.breakdown import best_group
+from salesaudit.functions.exprs import as_double, attach, count_text, lines, named
+from salesaudit.operators.breakdown import top_groups
 from salesaudit.operators.identifiers import identifier_profile
-from salesaudit.operators.missing import missing_counts, missing_wide
 from salesaudit.operators.overview import (
     average_payment,
     dataset_coverage,
     payment_percentiles,
     table_facts,
     total_revenue,
+    whole_table,
 )
 from salesaudit.sources.schema import EXPECTED_ROWS, ITEM_IDENTIFIERS
 
@@ -145,35 +146,14 @@ def _counted(rule: str, count: Column, template: str, about: Column | None = Non
     return _issue(rule, _sentence(template, count_text(count)), count > 0, about)
 
 
-def business_issues(
-    sales: DataFrame,
-    expected_rows: int = EXPECTED_ROWS,
-    as_of: str | datetime | None = None,
-    cap: int | None = None,
-    facts: DataFrame | None = None,
-    nulls: DataFrame | None = None,
-    profile: DataFrame | None = None,
-) -> DataFrame:
-    """The issue register.
-
-    ``as_of`` switches the rule on future dates on. ``cap=10000`` gives the
-    count of duplicate groups as the reference reports it, the length of its
-    exported list; by default all groups count. The partial-month line names
-    the month of the latest sale and stays out if that month is complete.
-    """
-    names = existing(sales, REQUIRED_IDENTIFIERS)
-    profile = profile or identifier_profile(sales, ["transaction_id"])
-    repeated = profile.where(F.col("identifier") == "transaction_id").select("repeated_values")
-    missing = (nulls or missing_counts(sales)).select(
-        F.lit(True).alias("counted"), *(named(f"null {name}").alias(name) for name in names)
-    )
-    row = attach(facts or table_facts(sales, as_of), missing=missing, duplicates=repeated)
-
+def _issue_rules(facts: DataFrame, expected_rows: int, cap: int | None) -> list[Column]:
+    """One struct per rule over the whole-table row with its duplicate count;
+    NULL where the rule does not fire."""
+    names = [name for name in REQUIRED_IDENTIFIERS if f"null {name}" in facts.columns]
     latest = F.col("latest_transaction")
-    month = F.date_format(latest, "MMMM yyyy")
     groups = F.col("duplicates.repeated_values")
     groups = F.least(groups, F.lit(cap)) if cap else groups
-    rules = [
+    return [
         *_row_count_rules(expected_rows),
         _counted("null_payments", F.col("null_payments"), "{} records have NULL total_payment."),
         _counted("zero_payments", F.col("zero_payments"), "{} records have a zero payment."),
@@ -183,7 +163,7 @@ def business_issues(
         *(
             _counted(
                 "missing_identifier",
-                F.col(f"missing.{name}"),
+                named(f"null {name}"),
                 "{} records are missing the identifier.",
                 about=F.lit(name),
             )
@@ -193,13 +173,38 @@ def business_issues(
             "partial_month",
             _sentence("The latest transaction date is {}.", F.date_format(latest, "MMMM d, yyyy")),
             fires=latest.cast("date") < F.last_day(latest.cast("date")),
-            about=month,
+            about=F.date_format(latest, "MMMM yyyy"),
         ),
         _counted(
             "duplicates", groups, "{} duplicate transaction groups are present in the exported sample."
         ),
     ]
-    return lines(row, rules).orderBy("position").select(*REGISTER)
+
+
+def _with_duplicates(facts: DataFrame, sales: DataFrame, profile: DataFrame | None) -> DataFrame:
+    profile = profile or identifier_profile(sales, ["transaction_id"])
+    repeated = profile.where(F.col("identifier") == "transaction_id").select("repeated_values")
+    return attach(facts, duplicates=repeated)
+
+
+def business_issues(
+    sales: DataFrame,
+    expected_rows: int = EXPECTED_ROWS,
+    as_of: str | datetime | None = None,
+    cap: int | None = None,
+    facts: DataFrame | None = None,
+    profile: DataFrame | None = None,
+) -> DataFrame:
+    """The issue register. ``facts`` is a kept :func:`whole_table`.
+
+    ``as_of`` switches the rule on future dates on. ``cap=10000`` gives the
+    count of duplicate groups as the reference reports it, the length of its
+    exported list; by default all groups count. The partial-month line names
+    the month of the latest sale and stays out if that month is complete.
+    """
+    facts = facts or whole_table(sales, as_of)
+    rules = _issue_rules(facts, expected_rows, cap)
+    return lines(_with_duplicates(facts, sales, profile), rules).orderBy("position").select(*REGISTER)
 
 
 # --- key figures ----------------------------------------------------------
@@ -214,17 +219,17 @@ def executive_kpis(
     sales: DataFrame,
     expected_rows: int = EXPECTED_ROWS,
     as_of: str | datetime | None = None,
+    cap: int | None = None,
     facts: DataFrame | None = None,
-    issues: DataFrame | None = None,
+    profile: DataFrame | None = None,
     median: DataFrame | None = None,
 ) -> DataFrame:
     """Nine key figures as doubles. ``median`` is a frame with that column."""
-    issues = issues or business_issues(sales, expected_rows, as_of, facts=facts)
+    facts = facts or whole_table(sales, as_of)
     row = attach(
-        facts or table_facts(sales, as_of),
-        rank=median or payment_percentiles(sales, median=0.5),
-        issues=issues.agg(F.count(F.lit(1)).alias("found")),
+        _with_duplicates(facts, sales, profile), rank=median or payment_percentiles(sales, median=0.5)
     )
+    found = [rule.isNotNull().cast("int") for rule in _issue_rules(facts, expected_rows, cap)]
     figures = {
         "Total records": F.col("total_rows"),
         "Total revenue": F.col("revenue"),
@@ -234,20 +239,24 @@ def executive_kpis(
         "Zero-payment records": F.col("zero_payments"),
         "Negative-payment records": F.col("negative_payments"),
         "Missing-payment records": F.col("null_payments"),
-        "Business issues identified": F.col("issues.found"),
+        "Business issues identified": reduce(Column.__add__, found),
     }
     return _figures(row, {name: as_double(value) for name, value in figures.items()})
 
 
 def audit_summary(sales: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """One row: size, dates, payments and the best product type and channel."""
-    facts = facts or table_facts(sales)
+    best = top_groups(sales).agg(
+        *(
+            F.max(F.when(F.col("dimension") == name, F.col("top_group"))).alias(f"top_{name}")
+            for name in ("product_type", "application_channel")
+        )
+    )
     row = attach(
-        facts,
+        facts or table_facts(sales),
         coverage=dataset_coverage(sales).select("distinct_transactions"),
         rank=payment_percentiles(sales, median=0.5),
-        product=best_group(sales, "product_type"),
-        channel=best_group(sales, "application_channel"),
+        best=best,
     )
     return row.select(
         "total_rows",
@@ -262,8 +271,8 @@ def audit_summary(sales: DataFrame, facts: DataFrame | None = None) -> DataFrame
         F.col("zero_payments").alias("zero_payment_rows"),
         F.col("negative_payments").alias("negative_payment_rows"),
         F.col("null_payments").alias("null_payment_rows"),
-        F.col("product.top_group").alias("top_product_type"),
-        F.col("channel.top_group").alias("top_application_channel"),
+        "best.top_product_type",
+        "best.top_application_channel",
     )
 
 
@@ -282,13 +291,10 @@ def _status(good: Column, otherwise: str = "REVIEW") -> Column:
     return F.when(good, "PASS").otherwise(otherwise)
 
 
-def audit_flags(
-    sales: DataFrame, facts: DataFrame | None = None, nulls: DataFrame | None = None
-) -> DataFrame:
-    """Eight flags, in their order."""
-    no_ticket, no_flag = "primary_ticket_id_missing", "hospitality_null"
-    missing = missing_wide(sales, nulls).select(no_ticket, no_flag)
-    row = attach(facts or table_facts(sales), missing=missing)
+def audit_flags(sales: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Eight flags, in their order. ``facts`` is a kept :func:`whole_table`."""
+    facts = facts or whole_table(sales)
+    no_ticket = named("null primary_ticket_id") + named("blank primary_ticket_id")
 
     def flag(area: str, status: Column, finding: Column) -> Column:
         return F.struct(F.lit(area).alias("area"), status.alias("status"), finding.alias("finding"))
@@ -301,12 +307,12 @@ def audit_flags(
         counted("Payment completeness", F.col("null_payments"), "{} NULL payment values"),
         counted("Negative payments", F.col("negative_payments"), "{} negative payment values"),
         counted("Zero payments", F.col("zero_payments"), "{} zero payment values"),
-        counted("Primary ticket ID completeness", F.col(f"missing.{no_ticket}"), "{} blank/NULL primary ticket IDs"),
-        counted("Hospitality field", F.col(f"missing.{no_flag}"), "{} NULL hospitality values"),
+        counted("Primary ticket ID completeness", no_ticket, "{} blank/NULL primary ticket IDs"),
+        counted("Hospitality field", named("null is_hospitality"), "{} NULL hospitality values"),
         flag("Duplicate identifiers", F.lit("REVIEW"), F.lit(DUPLICATES_FINDING)),
         flag("Row and seat fields", F.lit("REVIEWED"), F.lit(LOCATION_FINDING)),
     ]
-    return lines(row, rules).orderBy("position").select("area", "status", "finding")
+    return lines(facts, rules).orderBy("position").select("area", "status", "finding")
 
 
 # Scorecard recommendations.
@@ -316,18 +322,8 @@ ZERO_ADVICE = "Determine whether zero values represent complimentary or non-reve
 IDENTIFIER_ADVICE = "Determine whether repeated identifiers are expected at the dataset's business grain."
 
 
-def quality_scorecard(
-    sales: DataFrame,
-    as_of: str | datetime,
-    expected_rows: int | None = None,
-    facts: DataFrame | None = None,
-    profile: DataFrame | None = None,
-) -> DataFrame:
-    """Six checks and one line per item identifier.
-
-    Without ``expected_rows`` the row count is taken as complete; a different
-    count is the one check that can FAIL.
-    """
+def _checks(expected_rows: int | None) -> list[Column]:
+    """The six checks as structs over the facts row."""
     rows = F.col("total_rows")
     complete = F.lit(True) if expected_rows is None else rows == expected_rows
 
@@ -344,7 +340,7 @@ def quality_scorecard(
     differs = _sentence(
         "Dataset contains {} rows; expected {}.", count_text(rows), count_text(F.lit(expected_rows or 0))
     )
-    checks = [
+    return [
         check(
             "Dataset completeness",
             _status(complete, "FAIL"),
@@ -387,13 +383,14 @@ def quality_scorecard(
             ISSUES["future_dates"][4],
         ),
     ]
-    table = lines(facts or table_facts(sales, as_of), checks)
 
+
+def _identifier_checks(sales: DataFrame, profile: DataFrame | None) -> DataFrame:
     groups, name = F.col("repeated_values"), F.col("identifier")
     unique = groups == 0
     profile = profile or identifier_profile(sales, ITEM_IDENTIFIERS)
-    identifiers = profile.where(name.isin(*ITEM_IDENTIFIERS)).select(
-        (F.col("position") + len(checks)).cast("int").alias("position"),
+    return profile.where(name.isin(*ITEM_IDENTIFIERS)).select(
+        "position",
         F.concat(F.lit("Identifier: "), name).alias("area"),
         _status(unique).alias("status"),
         F.when(unique, _sentence("No duplicate {} groups were detected.", name))
@@ -401,7 +398,23 @@ def quality_scorecard(
         .alias("finding"),
         F.when(unique, F.lit(NO_ACTION)).otherwise(F.lit(IDENTIFIER_ADVICE)).alias("recommendation"),
     )
-    ordered = table.unionByName(identifiers).orderBy("position")
+
+
+def quality_scorecard(
+    sales: DataFrame,
+    as_of: str | datetime,
+    expected_rows: int | None = None,
+    facts: DataFrame | None = None,
+    profile: DataFrame | None = None,
+) -> DataFrame:
+    """Six checks and one line per item identifier.
+
+    Without ``expected_rows`` the row count is taken as complete; a different
+    count is the one check that can FAIL.
+    """
+    table = lines(facts or table_facts(sales, as_of), _checks(expected_rows)).withColumn("part", F.lit(1))
+    identifiers = _identifier_checks(sales, profile).withColumn("part", F.lit(2))
+    ordered = table.unionByName(identifiers).orderBy("part", "position")
     return ordered.select("area", "status", "finding", "recommendation")
 
 
@@ -413,11 +426,15 @@ def executive_summary(
     profile: DataFrame | None = None,
 ) -> DataFrame:
     """Ten lines of text: table figures and the number of checks per status."""
-    facts = facts or table_facts(sales, as_of)
-    scorecard = quality_scorecard(sales, as_of, expected_rows, facts, profile)
-    checks = scorecard.agg(
-        *(F.count_if(F.col("status") == status).alias(status) for status in ("PASS", "REVIEW", "FAIL"))
+    statuses = ("PASS", "REVIEW", "FAIL")
+    identifiers = _identifier_checks(sales, profile).agg(
+        *(F.count_if(F.col("status") == status).alias(status) for status in statuses)
     )
+    row = attach(facts or table_facts(sales, as_of), identifiers=identifiers)
+    checks = [check.getField("status") for check in _checks(expected_rows)]
+
+    def counted(status: str) -> Column:
+        return reduce(Column.__add__, ((c == status).cast("int") for c in checks), F.col(f"identifiers.{status}"))
 
     def money(name: str) -> Column:
         return F.col(name).cast("decimal(28,2)")
@@ -431,8 +448,6 @@ def executive_summary(
         "Average payment": average,
         "Minimum payment": money("minimum_payment"),
         "Maximum payment": money("maximum_payment"),
-        "PASS checks": F.col("checks.PASS"),
-        "REVIEW checks": F.col("checks.REVIEW"),
-        "FAIL checks": F.col("checks.FAIL"),
+        **{f"{status} checks": counted(status) for status in statuses},
     }
-    return _figures(attach(facts, checks=checks), {name: value.cast("string") for name, value in figures.items()})
+    return _figures(row, {name: value.cast("string") for name, value in figures.items()})

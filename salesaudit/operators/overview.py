@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesaudit.functions.exprs import as_double, attach, mean
+from salesaudit.operators.missing import missing_counters
 from salesaudit.plans.ordered import percentiles
 
 # Earliest plausible date and the payment thresholds.
@@ -35,6 +36,11 @@ def table_facts(sales: DataFrame, as_of: str | datetime | None = None) -> DataFr
     return sales.agg(*fact_columns(sales, as_of))
 
 
+def whole_table(sales: DataFrame, as_of: str | datetime | None = None) -> DataFrame:
+    """:func:`table_facts` and every missing count, from one pass."""
+    return sales.agg(*fact_columns(sales, as_of), *missing_counters(sales))
+
+
 def fact_columns(sales: DataFrame, as_of: str | datetime | None = None) -> list[Column]:
     """The aggregates of :func:`table_facts`."""
     facts = [F.count(F.lit(1)).alias("total_rows"), *_payment_facts()]

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from salesaudit.functions.exprs import attach
 from salesaudit.operators.breakdown import breakdown
 
 def month_of(moment: Column) -> Column:
@@ -60,8 +59,11 @@ def yearly_totals(sales: DataFrame) -> DataFrame:
 
 def monthly_trend_flagged(sales: DataFrame) -> DataFrame:
     """The monthly trend with ``is_partial``: the last month, if its last day
-    has no sales yet."""
-    latest = _dated(sales).agg(F.max("transaction_date").cast("date").alias("day"))
-    last = F.col("latest.day")
-    open_month = (F.col("month") == F.trunc(last, "month")) & (last < F.last_day(last))
-    return attach(monthly_trend(sales), latest=latest).withColumn("is_partial", open_month).drop("latest")
+    has no sales yet. There are no more months than the calendar has, so one
+    task may look at all of them."""
+    latest = {"latest": F.max("transaction_date").cast("date")}
+    month = month_of(F.col("transaction_date"))
+    trend = _trend(_dated(sales), month, "month", extras=_transactions() | latest)
+    last = F.max("latest").over(Window.partitionBy())
+    is_partial = (F.col("month") == F.trunc(last, "month")) & (last < F.last_day(last))
+    return trend.withColumn("is_partial", is_partial).drop("latest").orderBy("month")

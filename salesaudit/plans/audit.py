@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import salesaudit as audit
-from salesaudit.operators.missing import missing_counters
-from salesaudit.operators.overview import fact_columns
 from salesaudit.sources.schema import EXPECTED_ROWS
 from salesaudit.sources.tables import save_result
 
@@ -33,12 +31,9 @@ def run_audit(
         """A few rows, written as one file, which keeps their order."""
         return spark.read.parquet(save_result(frame.coalesce(1), folder, name, format="parquet"))
 
-    facts = kept(sales.agg(*fact_columns(sales, as_of), *missing_counters(sales)), "facts")
+    facts = kept(audit.whole_table(sales, as_of), "facts")
     profile = kept(audit.identifier_profile(sales), "identifier_profile")
     statistics = kept(audit.payment_statistics(sales, facts), "payment_statistics")
-    issues = kept(
-        audit.business_issues(sales, expected_rows, as_of, cap, facts, facts, profile), "business_issues"
-    )
     median = statistics.select(F.col("median_payment").alias("median"))
 
     # Names of the published reports, in order.
@@ -68,9 +63,11 @@ def run_audit(
         "23_product_description_performance": audit.product_description_performance(sales),
         "24_top_account_activity": audit.account_activity(sales),
         "25_revenue_concentration": audit.revenue_concentration(sales),
-        "26_business_issue_register": issues,
+        "26_business_issue_register": audit.business_issues(
+            sales, expected_rows, as_of, cap, facts, profile
+        ),
         "27_executive_kpis": audit.executive_kpis(
-            sales, expected_rows, as_of, facts, issues, median
+            sales, expected_rows, as_of, cap, facts, profile, median
         ),
     }
     return {name: save_result(report, folder, name) for name, report in reports.items()}

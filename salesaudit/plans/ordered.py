@@ -93,8 +93,9 @@ def _interpolated(place: Column) -> Column:
     return low + (high - low) * (place - F.floor(place))
 
 
-def running_sum(df: DataFrame, amount: str, order: Sequence[Column], output: str) -> DataFrame:
-    """Add the running sum of ``amount`` in a global ``order`` that has no ties.
+def running_sum(df: DataFrame, amount: str, order: Sequence[Column], output: str, total: str) -> DataFrame:
+    """Add the running sum of ``amount`` in a global ``order`` that has no ties,
+    and its total.
 
     Rows are range-partitioned, so the part numbers follow the order; each part
     is summed, and its window starts from the sum of the parts before it. The
@@ -106,11 +107,13 @@ def running_sum(df: DataFrame, amount: str, order: Sequence[Column], output: str
 
     sums = placed.groupBy("part").agg(F.sum(amount).alias("part_sum"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("part", F.sum("part_sum").over(before).alias("start"))
-
+    starts = sums.select(
+        "part",
+        F.sum("part_sum").over(before).alias("start"),
+        F.sum("part_sum").over(Window.partitionBy()).alias(total),
+    )
     so_far = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = F.sum(amount).over(so_far)
-    total = F.when(inside.isNull() & F.col("start").isNull(), None).otherwise(
-        F.coalesce(inside, F.lit(0)) + F.coalesce("start", F.lit(0))
-    )
-    return placed.join(F.broadcast(starts), "part").withColumn(output, total).drop("part", "start")
+    # NULL until the first amount, like a plain running sum
+    reached = F.coalesce(inside + F.col("start"), inside, F.col("start"))
+    return placed.join(F.broadcast(starts), "part").withColumn(output, reached).drop("part", "start")
