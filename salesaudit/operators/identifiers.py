@@ -32,22 +32,24 @@ def identifier_profile(
     """Per identifier that the table has: rows, values and repeated values.
 
     ``value`` is what counts as the value of a column. An identifier without
-    any still gets its line. ``position`` is its place in the given list.
+    any still gets its line. ``position`` is its place in the given list, and
+    what is shuffled instead of its name.
     """
     names = existing(sales, identifiers)
-    pairs = sales.select(*(value(named(n)).alias(n) for n in names)).unpivot([], names, "identifier", "value")
-    counts = pairs.groupBy("identifier", "value").agg(F.count(F.lit(1)).alias("rows"))
-
-    listed = F.posexplode(F.array(*map(F.lit, names))).alias("position", "identifier")
-    seed = sales.sparkSession.range(1).select(listed).select(
-        "identifier", F.lit(None).cast("string").alias("value"), F.lit(0).cast("bigint").alias("rows")
+    values = F.array(*(value(named(name)).cast("string") for name in names))
+    pairs = sales.select(F.posexplode(values).alias("position", "value"))
+    counts = pairs.groupBy("position", "value").agg(F.count(F.lit(1)).alias("rows"))
+
+    seed = sales.sparkSession.range(len(names)).select(
+        F.col("id").cast("int").alias("position"),
+        F.lit(None).cast("string").alias("value"),
+        F.lit(0).cast("bigint").alias("rows"),
     )
     has_value = F.col("value").isNotNull()
     repeated = has_value & (F.col("rows") > 1)
-    order = F.array_position(F.array(*map(F.lit, names)), F.col("identifier"))
     return (
         counts.unionByName(seed)
-        .groupBy("identifier")
+        .groupBy("position")
         .agg(
             F.sum("rows").alias("total_rows"),
             _rows_where(has_value).alias("non_null_rows"),
@@ -55,7 +57,7 @@ def identifier_profile(
             F.count_if(repeated).alias("repeated_values"),
             _rows_where(repeated).alias("rows_in_repeated_values"),
         )
-        .withColumn("position", order)
+        .withColumn("identifier", F.element_at(F.array(*map(F.lit, names)), F.col("position") + 1))
     )
 
 

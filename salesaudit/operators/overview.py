@@ -20,6 +20,28 @@ from salesaudit.plans.ordered import percentiles
 EARLIEST_PLAUSIBLE = "2010-01-01 00:00:00"
 THRESHOLDS = (10_000, 50_000, 100_000)
 
+# Names and fractions of the percentiles in the two reports.
+STATISTICS_POINTS = {
+    "p01": 0.01,
+    "p05": 0.05,
+    "p25": 0.25,
+    "median_payment": 0.5,
+    "p75": 0.75,
+    "p90": 0.9,
+    "p95": 0.95,
+    "p99": 0.99,
+}
+ANALYSIS_POINTS = {
+    "p01": 0.01,
+    "p05": 0.05,
+    "q1": 0.25,
+    "median": 0.5,
+    "q3": 0.75,
+    "p90": 0.9,
+    "p95": 0.95,
+    "p99": 0.99,
+}
+
 
 def moment(value: str | datetime) -> Column:
     """A zone-less timestamp literal."""
@@ -196,9 +218,7 @@ def payment_percentiles(sales: DataFrame, **points: float) -> DataFrame:
 
 
 def payment_statistics(sales: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    ranks = payment_percentiles(
-        sales, p01=0.01, p05=0.05, p25=0.25, median_payment=0.5, p75=0.75, p90=0.9, p95=0.95, p99=0.99
-    )
+    ranks = payment_percentiles(sales, **STATISTICS_POINTS)
     return attach(facts or table_facts(sales), rank=ranks).select(
         F.col("rows_with_payment").alias("non_null_payments"),
         _money("minimum_payment"),
@@ -210,9 +230,7 @@ def payment_statistics(sales: DataFrame, facts: DataFrame | None = None) -> Data
 
 
 def payment_analysis(sales: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    ranks = payment_percentiles(
-        sales, p01=0.01, p05=0.05, q1=0.25, median=0.5, q3=0.75, p90=0.9, p95=0.95, p99=0.99
-    )
+    ranks = payment_percentiles(sales, **ANALYSIS_POINTS)
     return attach(facts or table_facts(sales), rank=ranks).select(
         F.col("total_rows").alias("transaction_count"),
         total_revenue().alias("total_revenue"),

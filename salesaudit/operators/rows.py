@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salesaudit.functions.exprs import as_double, ascending, named
+from salesaudit.functions.exprs import as_double, ascending, attach, named
 from salesaudit.operators.inventory import type_name
 
 # Columns of the two lists of large payments.
@@ -54,11 +54,20 @@ def largest_transactions(sales: DataFrame, top: int = 100) -> DataFrame:
 def raw_sample(sales: DataFrame, rows: int = 1_000) -> DataFrame:
     """A bounded sample for inspection: the first rows by sales item id, then
     by every other column, so that it is the same each time. Money is a double,
-    as in every result."""
+    as in every result.
+
+    The id alone finds the rows that can be among them; only those are put in
+    full order.
+    """
+    if "sales_item_id" in sales.columns:
+        item = F.col("sales_item_id")
+        least = sales.select(item).orderBy(item.asc_nulls_last()).limit(rows)
+        edge = least.agg(F.max(item).alias("last"), F.count_if(item.isNull()).alias("nulls"))
+        within = (item <= F.col("edge.last")) | ((F.col("edge.nulls") > 0) & item.isNull())
+        sales = attach(sales, edge=edge).where(within).drop("edge")
     first = [name for name in ("sales_item_id",) if name in sales.columns]
     rest = [name for name in sales.columns if name not in first]
-    order = [named(name).asc_nulls_last() for name in first + rest]
-    sample = sales.orderBy(*order).limit(rows)
+    sample = sales.orderBy(*(named(name).asc_nulls_last() for name in first + rest)).limit(rows)
     money = [f.name for f in sales.schema.fields if isinstance(f.dataType, T.DecimalType)]
     return sample.withColumns({name: as_double(named(name)) for name in money})
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from salesaudit.functions.exprs import (
     cell_text,
     count_text,
+    mean,
     money_text,
+    null_label,
     percent_text,
     to_number,
 )
@@ -19,8 +21,8 @@ from salesaudit.operators.breakdown import (
     product_type_performance,
 )
 from salesaudit.operators.missing import missing_by_column
-from salesaudit.operators.overview import payment_statistics
-from salesaudit.operators.trends import monthly_trend, yearly_trend
+from salesaudit.operators.overview import STATISTICS_POINTS, payment_percentiles
+from salesaudit.operators.trends import month_of
 
 # Chart labels of the percentiles, in order.
 PERCENTILE_LABELS = {
@@ -36,13 +38,13 @@ PERCENTILE_LABELS = {
 
 
 def payment_percentiles_long(sales: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
-    """The percentiles as (position, percentile, payment) lines."""
+    """The percentiles as (position, percentile, payment) lines, in order."""
+    ranks = statistics or payment_percentiles(sales, **STATISTICS_POINTS)
     pairs = [
         F.struct(F.lit(label).alias("percentile"), F.col(name).alias("payment"))
         for name, label in PERCENTILE_LABELS.items()
     ]
-    pairs = F.posexplode(F.array(*pairs)).alias("at", "pair")
-    long = (statistics or payment_statistics(sales)).select(pairs)
+    long = ranks.select(F.posexplode(F.array(*pairs)).alias("at", "pair"))
     return long.select((F.col("at") + 1).alias("position"), "pair.*").orderBy("position")
 
 
@@ -50,76 +52,93 @@ def payment_percentiles_long(sales: DataFrame, statistics: DataFrame | None = No
 SHOWN = {"product_revenue": 15, "product_records": 10, "yearly_records_top": 10, "missing_count": 12}
 
 
-def label_values(result: DataFrame, label: str, **series: tuple[str, Column]) -> DataFrame:
-    """Points of one or more series from one pass over a report.
-
-    Each series is the name of its value column and what its points are placed
-    by, in rising order. A value that is not a number is dropped.
+def label_values(result: DataFrame, label: Column, place: Column | None, **series: Column) -> DataFrame:
+    """Points of one or more series, given by their values, from one pass over
+    a report. ``place`` puts the points of a series in rising order; None stands
+    for falling values. What is not a number is dropped.
     """
-    points = [
-        F.struct(
-            F.lit(name).alias("series"),
-            place.cast("double").alias("place"),
-            F.col(label).cast("string").alias("label"),
-            to_number(F.col(value)).alias("value"),
+    points = []
+    for name, value in series.items():
+        number = to_number(value)
+        points.append(
+            F.struct(
+                F.lit(name).alias("series"),
+                (-number if place is None else place.cast("double")).alias("place"),
+                label.cast("string").alias("label"),
+                number.alias("value"),
+            )
         )
-        for name, (value, place) in series.items()
-    ]
     return result.select(F.inline(F.array(*points))).where(F.col("value").isNotNull())
 
 
+def _totals() -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("total_payment").alias("paid"),
+        F.count("total_payment").alias("payments"),
+    ]
+
+
+def _period_points(sales: DataFrame) -> DataFrame:
+    """Years and months from one pass: each row counts in both groupings."""
+    sold = F.col("transaction_date")
+    dated = sales.where(sold.isNotNull()).select(
+        "total_payment", F.year(sold).alias("year"), month_of(sold).alias("month")
+    )
+    periods = dated.groupingSets([[F.col("year")], [F.col("month")]], "year", "month").agg(*_totals())
+    year, month = F.col("year"), F.col("month")
+    in_year, in_month = year.isNotNull(), month.isNotNull()
+    average = mean(F.col("paid"), F.col("payments"))
+    return label_values(
+        periods,
+        F.coalesce(year.cast("string"), month.cast("string")),
+        F.coalesce(year, F.unix_date(month)),
+        yearly_revenue=F.when(in_year, F.col("paid")),
+        yearly_records=F.when(in_year, F.col("rows")),
+        yearly_records_top=F.when(in_year, F.col("rows")),
+        monthly_revenue=F.when(in_month, F.col("paid")),
+        monthly_records=F.when(in_month, F.col("rows")),
+        monthly_average=F.when(in_month, average),
+    )
+
+
+def _group_points(sales: DataFrame) -> DataFrame:
+    """Product types and channels from one pass."""
+    dimensions = ["product_type", "application_channel"]
+    pairs = sales.select("total_payment", *dimensions).unpivot(["total_payment"], dimensions, "dimension", "group")
+    groups = pairs.groupBy("dimension", "group").agg(*_totals())
+    is_product = F.col("dimension") == "product_type"
+    return label_values(
+        groups,
+        null_label(F.col("group")),
+        None,
+        product_revenue=F.when(is_product, F.col("paid")),
+        product_records=F.when(is_product, F.col("rows")),
+        channel_revenue=F.when(~is_product, F.col("paid")),
+    )
+
+
 def chart_series(
-    sales: DataFrame,
-    products: DataFrame | None = None,
-    channels: DataFrame | None = None,
-    years: DataFrame | None = None,
-    months: DataFrame | None = None,
-    statistics: DataFrame | None = None,
-    missing: DataFrame | None = None,
+    sales: DataFrame, statistics: DataFrame | None = None, missing: DataFrame | None = None
 ) -> DataFrame:
     """The data behind every chart: (series, position, label, value) lines.
 
-    Each report is read once for all its series. They have few lines (types,
-    channels, periods, columns), which is all that is numbered here.
+    Four passes: periods, groups, percentiles, missing values. What is numbered
+    here are report lines (types, channels, periods, columns), never rows.
     """
-    year, month = F.col("year"), F.unix_date("month")
+    missing = missing or missing_by_column(sales)
+    column, share, count = F.col("column_name"), F.col("missing_percentage"), F.col("missing_count")
     reports = [
-        label_values(
-            years or yearly_trend(sales),
-            "year",
-            yearly_revenue=("revenue", year),
-            yearly_records=("records", year),
-            yearly_records_top=("records", year),
-        ),
-        label_values(
-            months or monthly_trend(sales),
-            "month",
-            monthly_revenue=("revenue", month),
-            monthly_records=("records", month),
-            monthly_average=("average_payment", month),
-        ),
-        label_values(
-            products or product_type_performance(sales),
-            "product_type",
-            product_revenue=("revenue", -F.col("revenue")),
-            product_records=("records", -F.col("records")),
-        ),
-        label_values(
-            channels or application_channel_performance(sales),
-            "application_channel",
-            channel_revenue=("revenue", -F.col("revenue")),
-        ),
+        _period_points(sales),
+        _group_points(sales),
         label_values(
             payment_percentiles_long(sales, statistics),
-            "percentile",
-            payment_percentiles=("payment", F.col("position")),
-        ),
-        label_values(
-            missing or missing_by_column(sales),
-            "column_name",
-            missing_share=("missing_percentage", F.col("missing_percentage")),
-            missing_count=("missing_count", -F.col("missing_count")),
+            F.col("percentile"),
+            F.col("position"),
+            payment_percentiles=F.col("payment"),
         ),
+        label_values(missing, column, count, missing_share=share),
+        label_values(missing, column, None, missing_count=count),
     ]
     in_series = Window.partitionBy("series").orderBy("place", "label")
     points = reduce(DataFrame.unionByName, reports).withColumn("position", F.row_number().over(in_series))
