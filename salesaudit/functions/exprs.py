@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -85,27 +86,51 @@ def mean(total: Column, count: Column) -> Column:
     return total.cast("double") / F.nullif(count, F.lit(0)).cast("double")
 
 
+def _rounded(part: Column, whole: Column, digits: int) -> Column:
+    """``part / whole`` of whole numbers in units of the last digit, rounded
+    half away from zero; NULL if ``whole`` is zero.
+
+    Whole-number division is exact. A decimal quotient is cut to the digits
+    that fit first, and rounding that again is sometimes off by one.
+    """
+    size = F.abs(F.nullif(whole, F.lit(0)))
+    units = F.call_function("div", F.abs(part) * F.lit(2 * 10**digits) + size, size * F.lit(2))
+    return F.when((part < 0) != (whole < 0), -units).otherwise(units)
+
+
+def _cents(money: Column) -> Column:
+    """Money sum as a whole number: 28 digits is what Spark gives the sum of an
+    18-digit column."""
+    return (money.cast("decimal(28,2)") * F.lit(100)).cast("decimal(28,0)")
+
+
+def _places(units: Column, digits: int) -> Column:
+    return units.cast("double") / F.lit(float(10**digits))
+
+
 def rounded_mean(total: Column, count: Column, digits: int) -> Column:
-    """Mean rounded half up while still decimal, then a double."""
-    exact = total / F.nullif(count, F.lit(0)).cast("decimal(19,0)")
-    return F.round(exact, digits).cast("double")
+    """Mean of money, rounded half up, as a double."""
+    return _places(_rounded(_cents(total), _whole(count) * F.lit(100), digits), digits)
+
+
+def mean_text(total: Column, count: Column, digits: int) -> Column:
+    """The rounded mean as text with all its digits."""
+    units = _rounded(_cents(total), _whole(count) * F.lit(100), digits)
+    return (units.cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-digits))).cast("string")
+
+
+def _whole(count: Column) -> Column:
+    return count.cast("decimal(19,0)")
 
 
 def count_share(part: Column, whole: Column, digits: int = 4) -> Column:
-    """``100 * part / whole`` of two counts, rounded half up in decimals."""
-    exact = (part * F.lit(100)).cast("decimal(21,0)") / F.nullif(whole, F.lit(0)).cast("decimal(19,0)")
-    return F.round(exact, digits).cast("double")
+    """``100 * part / whole`` of two counts, rounded half up."""
+    return _places(_rounded(_whole(part), _whole(whole), digits + 2), digits)
 
 
 def money_share(part: Column, whole: Column, digits: int = 4) -> Column:
-    """``100 * part / whole`` of two money sums, rounded half up in decimals.
-
-    28 digits is what Spark gives the sum of an 18-digit column; keeping both
-    sides that narrow leaves the quotient 8 decimals before it is rounded.
-    """
-    whole = F.nullif(whole, F.lit(0)).cast("decimal(28,2)")
-    exact = (part.cast("decimal(28,2)") * F.lit(100)).cast("decimal(30,2)") / whole
-    return F.round(exact, digits).cast("double")
+    """``100 * part / whole`` of two money sums, rounded half up."""
+    return _places(_rounded(_cents(part), _cents(whole), digits + 2), digits)
 
 
 def raw_share(part: Column, whole: Column) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesaudit.functions.exprs import as_double, attach, count_text, lines, named
+from salesaudit.functions.exprs import as_double, attach, count_text, lines, mean_text, named
 from salesaudit.operators.breakdown import top_groups
 from salesaudit.operators.identifiers import identifier_profile
 from salesaudit.operators.overview import (
@@ -439,13 +439,12 @@ def executive_summary(
     def money(name: str) -> Column:
         return F.col(name).cast("decimal(28,2)")
 
-    average = F.round(F.col("revenue") / F.nullif("rows_with_payment", F.lit(0)).cast("decimal(19,0)"), 4)
     figures = {
         "Total rows": F.col("total_rows"),
         "Earliest transaction": F.date_format("earliest_transaction", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
         "Latest transaction": F.date_format("latest_transaction", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
         "Total payment": money("revenue"),
-        "Average payment": average,
+        "Average payment": mean_text(F.col("revenue"), F.col("rows_with_payment"), 4),
         "Minimum payment": money("minimum_payment"),
         "Maximum payment": money("maximum_payment"),
         **{f"{status} checks": counted(status) for status in statuses},
