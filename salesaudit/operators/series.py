@@ -52,13 +52,14 @@ def payment_percentiles_long(sales: DataFrame, statistics: DataFrame | None = No
 SHOWN = {"product_revenue": 15, "product_records": 10, "yearly_records_top": 10, "missing_count": 12}
 
 
-def label_values(result: DataFrame, label: Column, place: Column | None, **series: Column) -> DataFrame:
-    """Points of one or more series, given by their values, from one pass over
-    a report. ``place`` puts the points of a series in rising order; None stands
-    for falling values. What is not a number is dropped.
+def label_values(result: DataFrame, label: Column, **series: tuple[Column, Column | None]) -> DataFrame:
+    """Points of one or more series from one pass over a report.
+
+    A series is its value and what puts its points in rising order, None for
+    falling values. What is not a number is dropped.
     """
     points = []
-    for name, value in series.items():
+    for name, (value, place) in series.items():
         number = to_number(value)
         points.append(
             F.struct(
@@ -89,16 +90,16 @@ def _period_points(sales: DataFrame) -> DataFrame:
     year, month = F.col("year"), F.col("month")
     in_year, in_month = year.isNotNull(), month.isNotNull()
     average = mean(F.col("paid"), F.col("payments"))
+    place = F.coalesce(year, F.unix_date(month))
     return label_values(
         periods,
         F.coalesce(year.cast("string"), month.cast("string")),
-        F.coalesce(year, F.unix_date(month)),
-        yearly_revenue=F.when(in_year, F.col("paid")),
-        yearly_records=F.when(in_year, F.col("rows")),
-        yearly_records_top=F.when(in_year, F.col("rows")),
-        monthly_revenue=F.when(in_month, F.col("paid")),
-        monthly_records=F.when(in_month, F.col("rows")),
-        monthly_average=F.when(in_month, average),
+        yearly_revenue=(F.when(in_year, F.col("paid")), place),
+        yearly_records=(F.when(in_year, F.col("rows")), place),
+        yearly_records_top=(F.when(in_year, F.col("rows")), place),
+        monthly_revenue=(F.when(in_month, F.col("paid")), place),
+        monthly_records=(F.when(in_month, F.col("rows")), place),
+        monthly_average=(F.when(in_month, average), place),
     )
 
 
@@ -111,10 +112,9 @@ def _group_points(sales: DataFrame) -> DataFrame:
     return label_values(
         groups,
         null_label(F.col("group")),
-        None,
-        product_revenue=F.when(is_product, F.col("paid")),
-        product_records=F.when(is_product, F.col("rows")),
-        channel_revenue=F.when(~is_product, F.col("paid")),
+        product_revenue=(F.when(is_product, F.col("paid")), None),
+        product_records=(F.when(is_product, F.col("rows")), None),
+        channel_revenue=(F.when(~is_product, F.col("paid")), None),
     )
 
 
@@ -126,19 +126,21 @@ def chart_series(
     Four passes: periods, groups, percentiles, missing values. What is numbered
     here are report lines (types, channels, periods, columns), never rows.
     """
-    missing = missing or missing_by_column(sales)
-    column, share, count = F.col("column_name"), F.col("missing_percentage"), F.col("missing_count")
+    share, count = F.col("missing_percentage"), F.col("missing_count")
     reports = [
         _period_points(sales),
         _group_points(sales),
         label_values(
             payment_percentiles_long(sales, statistics),
             F.col("percentile"),
-            F.col("position"),
-            payment_percentiles=F.col("payment"),
+            payment_percentiles=(F.col("payment"), F.col("position")),
+        ),
+        label_values(
+            missing or missing_by_column(sales),
+            F.col("column_name"),
+            missing_share=(share, share),
+            missing_count=(count, None),
         ),
-        label_values(missing, column, count, missing_share=share),
-        label_values(missing, column, None, missing_count=count),
     ]
     in_series = Window.partitionBy("series").orderBy("place", "label")
     points = reduce(DataFrame.unionByName, reports).withColumn("position", F.row_number().over(in_series))
