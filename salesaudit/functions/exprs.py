@@ -171,12 +171,12 @@ def cell_text(column: Column) -> Column:
 
 
 def descending(*names: str) -> list[Column]:
-    """Descending with NULL first, as the reference database sorts."""
+    """Descending with NULL first, as PostgreSQL sorts."""
     return [F.desc_nulls_first(name) for name in names]
 
 
 def ascending(*names: str) -> list[Column]:
-    """Ascending with NULL last, as the reference database sorts."""
+    """Ascending with NULL last, as PostgreSQL sorts."""
     return [F.asc_nulls_last(name) for name in names]
 
 

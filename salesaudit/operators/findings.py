@@ -197,10 +197,10 @@ def business_issues(
 ) -> DataFrame:
     """The issue register. ``facts`` is a kept :func:`whole_table`.
 
-    ``as_of`` switches the rule on future dates on. ``cap=10000`` gives the
-    count of duplicate groups as the reference reports it, the length of its
-    exported list; by default all groups count. The partial-month line names
-    the month of the latest sale and stays out if that month is complete.
+    ``as_of`` switches the rule on future dates on. All duplicate groups count;
+    ``cap=10000`` gives the older figure, the length of the exported list. The
+    partial-month line names the month of the latest sale and stays out if that
+    month is complete.
     """
     facts = facts or whole_table(sales, as_of)
     rules = _issue_rules(facts, expected_rows, cap)
