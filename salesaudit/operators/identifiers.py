@@ -185,8 +185,9 @@ def duplicate_transaction_rows(sales: DataFrame) -> DataFrame:
 def potential_data_grain(sales: DataFrame) -> DataFrame:
     """Distinct identifiers per product and sale type, to find what a row is.
 
-    The distinct counts first group by the values themselves, so the few
-    (product type, sale type) pairs do not become the few tasks.
+    Rows are first counted per identifier value, so the few (product type, sale
+    type) pairs do not become the few tasks. Records and revenue ride along
+    with the first identifier.
     """
     distinct = {
         "unique_primary_ticket_ids": "primary_ticket_id",
@@ -194,12 +195,22 @@ def potential_data_grain(sales: DataFrame) -> DataFrame:
         "unique_transaction_ids": "transaction_id",
         "unique_subscription_instances": "subscription_instance_id",
     }
+    pair = ("product_type", "sale_type")
+    values = F.array(*(blank_to_null(F.col(column)) for column in distinct.values()))
+    rows = sales.select(*pair, "total_payment", F.posexplode(values).alias("position", "value"))
+    first = F.col("position") == 0
+    counts = rows.groupBy(*pair, "position", "value").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.when(first, F.col("total_payment"))).alias("paid")
+    )
     return (
-        sales.groupBy("product_type", "sale_type")
+        counts.groupBy(*pair)
         .agg(
-            F.count(F.lit(1)).alias("records"),
-            *(F.countDistinct(blank_to_null(F.col(column))).alias(name) for name, column in distinct.items()),
-            as_double(F.round(F.sum("total_payment"), 2)).alias("revenue"),
+            F.sum(F.when(first, F.col("rows"))).alias("records"),
+            *(
+                F.count(F.when(F.col("position") == place, F.col("value"))).alias(name)
+                for place, name in enumerate(distinct)
+            ),
+            as_double(F.sum("paid")).alias("revenue"),
         )
-        .orderBy(F.desc("records"), *ascending("product_type", "sale_type"))
+        .orderBy(F.desc("records"), *ascending(*pair))
     )
