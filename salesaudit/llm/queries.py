@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from salesaudit.llm import exact
+from salesaudit.llm import exact, language
+from salesaudit.llm.shared import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,13 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    found = language.identify(documents, ~fold("doc_id", 2, 4))
+    return found.select("doc_id", fold("doc_id", 2, 4).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
