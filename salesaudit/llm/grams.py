@@ -43,15 +43,16 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def _powers(length: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate(([1], np.full(length, BASE, dtype=np.uint64))).astype(np.uint64))
+def _series(factor: int, length: int) -> np.ndarray:
+    factors = np.full(length + 1, factor, dtype=np.uint64)
+    factors[0] = 1
+    return np.multiply.accumulate(factors)
 
 
 @lru_cache(maxsize=4)
-def _inverse_powers(length: int) -> np.ndarray:
-    inverse = pow(BASE, -1, 1 << 64)
-    return np.multiply.accumulate(np.concatenate(([1], np.full(length, inverse, dtype=np.uint64))).astype(np.uint64))
+def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse among 64-bit numbers."""
+    return _series(BASE, length), _series(pow(BASE, -1, 1 << 64), length)
 
 
 @lru_cache(maxsize=1)
@@ -77,10 +78,10 @@ def word_hashes(text: str) -> np.ndarray:
     data, starts, ends = word_spans(text)
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    size = 1 << int(len(data)).bit_length()
+    powers, inverses = _powers(1 << int(len(data)).bit_length())
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(size)[: len(data)], out=sums[1:])
-    values = (sums[ends] - sums[starts]) * _inverse_powers(size)[starts]
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+    values = (sums[ends] - sums[starts]) * inverses[starts]
     return mixed(values ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
 
 

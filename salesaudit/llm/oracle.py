@@ -12,6 +12,43 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+OP5 = """
+WITH RECURSIVE words AS (
+    SELECT row_number() OVER () AS row_no, doc_id,
+           list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w
+    FROM documents
+), sets AS (
+    SELECT row_no, doc_id,
+           CASE WHEN len(w) < 2 THEN w
+                ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s
+    FROM words
+), texts AS (
+    SELECT min(row_no) AS node, s FROM sets WHERE len(s) > 0 GROUP BY s
+), items AS (
+    SELECT node, len(s) AS n, unnest(s) AS item FROM texts
+), links AS (
+    SELECT a.node AS u, b.node AS v
+    FROM items a JOIN items b ON a.item = b.item AND a.node <> b.node
+    GROUP BY a.node, b.node
+    HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), reached AS (
+    SELECT node AS u, node AS v FROM texts
+    UNION
+    SELECT reached.u, links.v FROM reached JOIN links ON reached.v = links.u
+), classes AS (
+    SELECT u, min(v) AS class FROM reached GROUP BY u
+), placed AS (
+    SELECT sets.doc_id, len(sets.s) AS n_shingles, coalesce(classes.class, -sets.row_no) AS class
+    FROM sets LEFT JOIN texts ON sets.s = texts.s LEFT JOIN classes ON classes.u = texts.node
+)
+SELECT doc_id, n_shingles, min(doc_id) OVER same AS component_id,
+       doc_id IS NOT DISTINCT FROM min(doc_id) OVER same AS kept
+FROM placed
+WINDOW same AS (PARTITION BY class)
+"""
+
 SQL: dict[str, str] = {
+    "op5_minhash_near_dedup": OP5,
     "op9_exact_dedup": OP9,
 }

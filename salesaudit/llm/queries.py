@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from salesaudit.llm import exact, language
+from salesaudit.llm import exact, language, neardup
 from salesaudit.llm.shared import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +28,14 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", fold("doc_id", 2, 4).alias("held_out"), "lang_pred", "score")
 
 
+def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    groups = neardup.near_groups(table(spark, folder, "documents"), width=2)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return groups.select("doc_id", "n_shingles", "component_id", kept)
+
+
 QUERIES: dict[str, Query] = {
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
 }
