@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesaudit.llm import exact, language, neardup
+from salesaudit.llm import exact, language, neardup, packing
 from salesaudit.llm.shared import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The vocabulary file, at the same place on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     groups = exact.exact_groups(table(spark, folder, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -34,7 +41,13 @@ def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id", kept)
 
 
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    placed = packing.pack(table(spark, folder, "documents"), vocabulary())
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Query] = {
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
