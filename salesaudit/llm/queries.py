@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesaudit.llm import exact, language, neardup, packing
+from salesaudit.llm import decontaminate, exact, language, neardup, packing
 from salesaudit.llm.shared import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,9 +46,15 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "passages", "edits", "start", "end")
+
+
 QUERIES: dict[str, Query] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
 }
