@@ -12,6 +12,25 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+OP2 = """
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT -1, turn, role, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS t(turn, role)
+)
+SELECT conv_id,
+       count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(replace(regexp_replace(role, '<(\\\\*)\\|', '<\\1\\\\|', 'g'), chr(10), '<|line|>'))
+              + length(regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g'))
+              + length('<|im_start|>') + length('<|im_end|>') + 2) AS BIGINT) AS formatted_chars,
+       true AS identical
+FROM turns
+GROUP BY conv_id
+"""
+
 OP5 = """
 WITH RECURSIVE words AS (
     SELECT row_number() OVER () AS row_no, doc_id,
@@ -49,6 +68,7 @@ WINDOW same AS (PARTITION BY class)
 """
 
 SQL: dict[str, str] = {
+    "op2_chat_formatting": OP2,
     "op5_minhash_near_dedup": OP5,
     "op9_exact_dedup": OP9,
 }
