@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesaudit.llm import chat, decontaminate, exact, language, neardup, packing
+from salesaudit.llm import chat, decontaminate, exact, language, licenses, neardup, packing
 from salesaudit.llm.shared import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,8 +61,16 @@ def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.chat_digest(chat.format_conversations(rows.unionByName(spark.createDataFrame(turns, rows.schema))))
 
 
+def op3_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.license_labels(licenses.license_spans(table(spark, folder, "documents")))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_license_scans": op3_license_scans,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
