@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesaudit.llm import chat, decontaminate, exact, language, licenses, neardup, packing
+from salesaudit.llm import chat, decontaminate, exact, language, licenses, lm, neardup, packing
 from salesaudit.llm.shared import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,12 +68,27 @@ def op3_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    scores = lm.language_model_scores(table(spark, folder, "documents"), ~fold("doc_id", 2, 7))
+    return scores.select(
+        "doc_id",
+        fold("doc_id", 2, 7).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+        "bits_per_byte",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_license_scans": op3_license_scans,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
 }
