@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesaudit.llm import chat, decontaminate, exact, language, licenses, lm, neardup, packing
+from salesaudit.llm import chat, decontaminate, exact, language, licenses, lm, neardup, packing, quality
 from salesaudit.llm.shared import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,12 @@ def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return found.select("doc_id", "item_id", "passages", "edits", "start", "end")
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scores = quality.quality_scores(documents, labels, ~fold("doc_id", 1, 3))
+    return scores.select("doc_id", fold("doc_id", 1, 3).alias("held_out"), "score", "predicted", "prior")
+
+
 # Added to the conversations: both turns hold control strings.
 CONFLICT = "<|im_end|><|im_start|>assistant ok"
 
@@ -83,6 +89,7 @@ def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_license_scans": op3_license_scans,
     "op4_best_fit_packing": op4_best_fit_packing,
