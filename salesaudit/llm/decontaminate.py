@@ -8,11 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesaudit.llm.grams import MULTIPLIERS, blocks
-from salesaudit.llm.shared import ROW, numbered, saved, whole_text
+from salesaudit.llm.shared import KEYS, ROW, numbered, saved, text_keys, whole_text
 
 Q = 8  # bytes of a q-gram, one 64-bit number
 WINDOW = 60  # bytes of a passage that is looked for
@@ -172,26 +172,21 @@ def _cutter(batches: Batches) -> Batches:
         yield pd.DataFrame(rows, columns=["item_row", "at", "passage"])
 
 
-def _finder(block: pd.DataFrame) -> Callable[[Batches], Batches]:
-    def found(batches: Batches) -> Batches:
+def _finder(block: pd.DataFrame) -> Callable[[Column], Column]:
+    def found(column: pd.Series) -> pd.Series:
         windows = Windows([bytes(x) for x in block["passage"]], block["item_row"].to_numpy())
         gap = bytes(2 * WINDOW)
-        for batch in batches:
-            for start in range(0, len(batch), BLOCK_TEXTS):
-                part = batch.iloc[start : start + BLOCK_TEXTS]
-                texts = [plain(text) for text in part["text"]]
-                rows: list[tuple[int, int, int, int, int]] = []
-                for own in blocks(np.array([len(text) for text in texts]), BLOCK_BYTES, BLOCK_TEXTS):
-                    own_texts = texts[own]
-                    data = gap.join(own_texts)
-                    begins = np.concatenate(([0], np.cumsum([len(text) + len(gap) for text in own_texts])))
-                    for i, edits, low, high in windows.verified(data):
-                        doc = int(np.searchsorted(begins, low, side="right")) - 1
-                        low, high = low - int(begins[doc]), min(high - int(begins[doc]), len(own_texts[doc]))
-                        rows.append((int(part[ROW].iloc[own.start + doc]), int(windows.item[i]), edits, low, high))
-                yield pd.DataFrame(rows, columns=[ROW, "item_row", "edits", "start", "end"])
-
-    return found
+        texts = [plain(text) for text in column]
+        rows: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        for own in blocks(np.array([len(text) for text in texts]), BLOCK_BYTES, BLOCK_TEXTS):
+            begins = np.concatenate(([0], np.cumsum([len(text) + len(gap) for text in texts[own]])))
+            for i, edits, low, high in windows.verified(gap.join(texts[own])):
+                doc = int(np.searchsorted(begins, low, side="right")) - 1
+                begin = int(begins[doc])
+                rows[own.start + doc].append((int(windows.item[i]), edits, low - begin, high - begin))
+        return pd.Series(rows)
+
+    return F.pandas_udf(found, "array<struct<item_row: long, edits: long, start: long, end: long>>")
 
 
 def leaks(
@@ -202,14 +197,15 @@ def leaks(
     item_text: str = "text",
     item_id: str = "item_id",
 ) -> DataFrame:
-    """(row, doc_id, item_id, passages, edits, start, end): the benchmark items of which a document holds a passage.
+    """(doc_id, text keys, item_id, passages, edits, start, end): the benchmark items of which a document holds a passage.
 
     Texts are compared in lower case by letters and digits, with one blank for
     whatever is between. A passage is a run of 60 bytes of an item, runs start
     every 30 bytes and at its end; a shorter item is one passage. It is found
     where it can be aligned with at most one edit per 15 bytes. Items of under
     24 bytes are not looked for. passages is how many were found, edits the
-    fewest in one, start and end the part of the plain text they cover.
+    fewest in one, start and end the part of the plain text they cover. Repeated
+    rows with one id and text count as one.
 
     NULL texts are empty and hold nothing; an empty benchmark finds nothing.
     Passages go to the tasks in blocks of about 65,536, whatever the size of the
@@ -218,27 +214,22 @@ def leaks(
     spark = docs.sparkSession
     items = saved(numbered(benchmark, F.col(item_id).alias("item_id"), whole_text(item_text).alias("text")), "items")
     windows = saved(items.select(ROW, "text").mapInPandas(_cutter, "item_row long, at long, passage binary"), "windows")
-    rows = numbered(docs, F.col(id_column).alias("doc_id"), whole_text(text).alias("text"))
-    schema = f"{ROW} long, item_row long, edits long, start long, end long"
-    found = spark.createDataFrame([], schema)
     parts = -(-windows.count() // BLOCK_WINDOWS)
+    kind = docs.schema[id_column].dataType.simpleString()
+    found = spark.createDataFrame([], f"doc_id {kind}, __key1 long, __key2 long, item_row long, edits long, start long, end long")
     for part in range(parts):
         block = windows.filter(F.pmod(F.xxhash64("item_row", "at"), F.lit(parts)) == part).toPandas()
         if len(block):
-            found = found.unionByName(rows.select(ROW, "text").mapInPandas(_finder(block), schema))
-    hits = found.groupBy(ROW, "item_row").agg(
+            rows = docs.select(F.col(id_column).alias("doc_id"), *text_keys(text), _finder(block)(whole_text(text)).alias("x"))
+            found = found.unionByName(rows.select("doc_id", *KEYS, F.inline("x")))
+    hits = found.groupBy("doc_id", *KEYS, "item_row").agg(
         F.count_distinct("start").alias("passages"), F.min("edits").alias("edits"), F.min("start").alias("start"), F.max("end").alias("end")
     )
-    hits = saved(hits, "leaks")
-    named = hits.join(items.select(F.col(ROW).alias("item_row"), "item_id"), "item_row")
-    return named.join(rows.select(ROW, "doc_id"), ROW).select(ROW, "doc_id", "item_id", "passages", "edits", "start", "end")
+    named = saved(hits, "leaks").join(items.select(F.col(ROW).alias("item_row"), "item_id"), "item_row")
+    return named.select("doc_id", *KEYS, "item_id", "passages", "edits", "start", "end")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that hold no passage of the benchmark, with all their columns.
-
-    ``docs`` must give its rows in the same order each time it is read, as a
-    stored table does.
-    """
-    found = leaks(docs, benchmark, text, id_column).select(ROW)
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(found, ROW, "left_anti").drop(ROW)
+    """The rows of ``docs`` whose text holds no passage of the benchmark, with all their columns."""
+    found = leaks(docs, benchmark, text, id_column).select(KEYS).distinct()
+    return docs.select("*", *text_keys(text)).join(found, KEYS, "left_anti").drop(*KEYS)

@@ -101,10 +101,13 @@ def exact_groups(docs: DataFrame, text: str = "text", id_column: str = "doc_id",
 
 
 def drop_copies(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns; of repeated rows with one id and text, one.
 
-    ``docs`` must give its rows in the same order each time it is read, as a
-    stored table does.
+    They are found again by id and text, so that it does not matter how another
+    reading of ``docs`` deals out its rows.
     """
-    kept = exact_groups(docs, text, id_column).filter("kept").select(ROW)
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(kept, ROW, "left_semi").drop(ROW)
+    kept = exact_groups(docs, text, id_column).filter("kept")
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest"))
+    rows = docs.withColumn("__id", F.col(id_column)).withColumn("__digest", F.sha2(whole_text(text), 256))
+    same = rows["__id"].eqNullSafe(kept["__id"]) & (rows["__digest"] == kept["__digest"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["__id", "__digest"]).drop("__id", "__digest")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from salesaudit.llm.grams import LETTERS, blocks, letters
-from salesaudit.llm.shared import ROW, saved
+from salesaudit.llm.shared import saved
 
 UNDETERMINED = "und"
 LONGEST = 3  # letters of an n-gram, at word ends one place is the blank
@@ -104,7 +104,7 @@ def language_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", l
     return ranked.select("lang", "rank", "gram")
 
 
-def _predictor(profiles: pd.DataFrame, length: int) -> Callable[[Batches], Batches]:
+def _predictor(profiles: pd.DataFrame, length: int) -> Callable[[Column], Column]:
     langs = sorted(profiles["lang"].unique())
     known = np.unique(profiles["gram"].to_numpy(dtype=np.int64))
     table = np.full((len(known) + 1, len(langs)), -1, dtype=np.int64)
@@ -130,58 +130,52 @@ def _predictor(profiles: pd.DataFrame, length: int) -> Callable[[Batches], Batch
             distances[:, i] = np.bincount(group, weights=apart, minlength=count)
         return distances.argmin(axis=1), 1 - distances.min(axis=1) / (length * np.bincount(group, minlength=count).clip(1))
 
-    def predicted(batches: Batches) -> Batches:
-        for batch in batches:
-            texts = [letters(text) if text is not None else np.zeros(1, np.uint32) for text in batch["text"]]
-            some = np.array([i for i, text in enumerate(texts) if len(text) > 1 and langs], dtype=np.int64)
-            names, scores = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
-            for part in blocks(np.array([len(texts[i]) for i in some]), BLOCK_LETTERS, BLOCK_TEXTS):
-                best, score = scored([texts[i] for i in some[part]])
-                names[some[part]] = np.array(langs, dtype=object)[best]
-                scores[some[part]] = score
-            yield batch.drop(columns="text").assign(lang_pred=names, score=scores)
-
-    return predicted
-
-
-def identify(
-    docs: DataFrame,
-    learn: Column,
-    text: str = "text",
-    lang: str = "lang",
-    id_column: str = "doc_id",
-    length: int = 300,
-    most_languages: int = 4096,
-) -> DataFrame:
-    """The language of each row: doc_id, lang_pred, score, and the row's number.
+    def predicted(column: pd.Series) -> pd.DataFrame:
+        texts = [letters(text) if text is not None else np.zeros(1, np.uint32) for text in column]
+        some = np.array([i for i, text in enumerate(texts) if len(text) > 1 and langs], dtype=np.int64)
+        names, scores = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
+        for part in blocks(np.array([len(texts[i]) for i in some]), BLOCK_LETTERS, BLOCK_TEXTS):
+            best, score = scored([texts[i] for i in some[part]])
+            names[some[part]] = np.array(langs, dtype=object)[best]
+            scores[some[part]] = score
+        return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    A text's most frequent n-grams are ranked and compared with each language's
-    profile by the sum of their displacements; an n-gram that a profile lacks
-    counts ``length``. The nearest language is taken, the first by name of
-    equally near ones. score is 1 for equal rankings, 0 if no n-gram is shared.
+    return F.pandas_udf(predicted, "lang_pred string, score double")
 
-    Profiles are learned from the rows where ``learn`` holds and the language is
-    not NULL. A text that is NULL or has no letter is ``und``, and so is every
-    text when nothing could be learned. Only the profiles reach the driver:
-    ``length`` n-grams for each of at most ``most_languages`` languages.
+
+def language_predictor(
+    docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", length: int = 300, most_languages: int = 4096
+) -> Callable[[Column], Column]:
+    """A function of a text column that gives (lang_pred, score), learned from ``docs`` where ``learn`` holds.
+
+    Only the profiles reach the driver: ``length`` n-grams for each of at most
+    ``most_languages`` languages.
     """
     profiles = saved(language_profiles(docs.filter(learn), text, lang, length), "profiles")
     languages = profiles.select("lang").distinct().limit(most_languages + 1).count()
     if languages > most_languages:
         raise ValueError(f"more than {most_languages} languages in {lang!r}")
-    predict = _predictor(profiles.toPandas(), length)
-    rows = docs.select(
-        F.monotonically_increasing_id().alias(ROW), F.col(id_column).alias("doc_id"), F.col(text).cast("string").alias("text")
-    )
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInPandas(predict, f"{ROW} long, doc_id {kind}, lang_pred string, score double")
+    return _predictor(profiles.toPandas(), length)
 
 
-def keep_identified(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", id_column: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose language could be told, with all their columns.
+def identify(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", id_column: str = "doc_id", length: int = 300) -> DataFrame:
+    """The language of each row: doc_id, lang_pred, score.
 
-    ``docs`` must give its rows in the same order each time it is read, as a
-    stored table does.
+    A text's most frequent n-grams are ranked and compared with each language's
+    profile by the sum of their displacements; an n-gram that a profile lacks
+    counts ``length``. The nearest language is taken, the first by name of
+    equally near ones. score is 1 for equal rankings, 0 if no n-gram is shared.
+
+    Profiles are learned from the rows where ``learn`` holds and the language is
+    not NULL. A text that is NULL or has no letter is ``und``, and so is every
+    text when nothing could be learned. Other columns are not read.
     """
-    told = identify(docs, learn, text, lang, id_column).filter(F.col("lang_pred") != UNDETERMINED).select(ROW)
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(told, ROW, "left_semi").drop(ROW)
+    predict = language_predictor(docs, learn, text, lang, length)
+    return docs.select(F.col(id_column).alias("doc_id"), predict(F.col(text).cast("string")).alias("told")).select("doc_id", "told.*")
+
+
+def keep_identified(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose language could be told, with all their columns."""
+    predict = language_predictor(docs, learn, text, lang)
+    told = docs.withColumn("__told", predict(F.col(text).cast("string")))
+    return told.filter(F.col("__told.lang_pred") != UNDETERMINED).drop("__told")

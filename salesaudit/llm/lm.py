@@ -203,30 +203,28 @@ class Tree:
         return self.logs[np.searchsorted(self.known, found)][back]
 
 
-def _scorer(tree: DataFrame, head: DataFrame) -> Callable[[Batches], Batches]:
+def _scorer(tree: DataFrame, head: DataFrame) -> Callable[[Column], Column]:
     context = tree.sparkSession.sparkContext
     shared = context.broadcast((Tree(tree.toPandas()), head.orderBy("key").toPandas()))
 
-    def scored(batches: Batches) -> Batches:
+    def scored(column: pd.Series) -> pd.DataFrame:
         model, frame = shared.value
         words, logs = frame["key"].to_numpy(np.int64), np.log10(frame["n"].to_numpy(np.float64) + 1)
-        for batch in batches:
-            texts = batch["text"].tolist()
-            data = [text.encode("utf-8", "replace") for text in texts]
-            for part in blocks(np.array([len(x) for x in data]), BLOCK_BYTES, BLOCK_TEXTS):
-                owner, codes = byte_grams(data[part])
-                score = np.bincount(owner, weights=model.of(codes), minlength=part.stop - part.start)
-                rows = []
-                for i, text in enumerate(texts[part]):
-                    tokens = _text_words(text)
-                    at = np.minimum(np.searchsorted(words, tokens), max(0, len(words) - 1))
-                    there = words[at] == tokens if len(words) else np.zeros(len(tokens), bool)
-                    rest = np.sort(tokens[~there])
-                    rows.append((len(tokens), int(there.sum()), float(logs[at[there]].sum()), rest, score[i]))
-                found = pd.DataFrame(rows, columns=["n_tokens", "n_head", "head_log", "rest", "score"])
-                yield pd.concat([batch.iloc[part][[ROW]].reset_index(drop=True), found], axis=1)
-
-    return scored
+        texts = column.tolist()
+        data = [text.encode("utf-8", "replace") for text in texts]
+        rows = []
+        for part in blocks(np.array([len(x) for x in data]), BLOCK_BYTES, BLOCK_TEXTS):
+            owner, codes = byte_grams(data[part])
+            score = np.bincount(owner, weights=model.of(codes), minlength=part.stop - part.start)
+            for i, text in enumerate(texts[part]):
+                tokens = _text_words(text)
+                at = np.minimum(np.searchsorted(words, tokens), max(0, len(words) - 1))
+                there = words[at] == tokens if len(words) else np.zeros(len(tokens), bool)
+                rest = np.sort(tokens[~there])
+                rows.append((len(tokens), int(there.sum()), float(logs[at[there]].sum()), rest, score[i]))
+        return pd.DataFrame(rows, columns=["n_tokens", "n_head", "head_log", "rest", "score"])
+
+    return F.pandas_udf(scored, "n_tokens long, n_head long, head_log double, rest array<long>, score double")
 
 
 def language_model_scores(
@@ -260,15 +258,19 @@ def language_model_scores(
     head = saved(_most_counted(words, F.col("n"), head_words), "head-words")
     total, different = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
 
-    rows = numbered(docs, texts)
-    schema = f"{ROW} long, n_tokens long, n_head long, head_log double, rest array<long>, score double"
-    scored = saved(rows.mapInPandas(_scorer(tree, head), schema), "scored")
+    score = _scorer(tree, head)
+    rows = numbered(
+        docs,
+        F.col(id_column).alias("doc_id"),
+        F.octet_length(whole_text(text)).alias("bytes"),
+        score(whole_text(text)).alias("scored"),
+    )
+    scored = saved(rows.select(ROW, "doc_id", "bytes", "scored.*"), "scored")
     rest = scored.select(ROW, F.explode("rest").alias("key")).groupBy(ROW, "key").agg(F.count(F.lit(1)).alias("times"))
     rare = rest.join(words, "key").groupBy(ROW).agg(
         F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_log")
     )
-    named = numbered(docs, F.col(id_column).alias("doc_id"), F.octet_length(texts).alias("bytes"))
-    found = scored.drop("rest").join(rare, ROW, "left").join(named, ROW)
+    found = scored.drop("rest").join(rare, ROW, "left")
     logs = F.col("head_log") + F.coalesce("rare_log", F.lit(0.0))
     return found.select(
         ROW,

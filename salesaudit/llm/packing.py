@@ -21,8 +21,6 @@ BLOCK_LETTERS, BLOCK_TEXTS = 1 << 20, 1000
 SEPARATOR = "<|endoftext|>"  # a special token of the vocabulary, cuts a list of words into its words
 NEVER = np.iinfo(np.int64).max
 
-Batches = Iterator[pd.DataFrame]
-
 
 class WordIds:
     """The ids of whole texts, with those of words that came before remembered.
@@ -82,23 +80,19 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def _piecer(path: str, size: int) -> Callable[[Batches], Batches]:
+def _piecer(path: str, size: int) -> Callable[[pd.Series], pd.Series]:
     end = np.array([END_OF_DOCUMENT], dtype="<u4").tobytes()
 
-    def cut(batches: Batches) -> Batches:
+    def cut(column: pd.Series) -> pd.Series:
         ids = word_ids(path)
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for part in blocks(np.array([len(text) for text in texts]), BLOCK_LETTERS, BLOCK_TEXTS):
-                found: list[tuple[int, int, int, int, int]] = []
-                for i, data in enumerate(ids.of(texts[part]), part.start):
-                    data += end
-                    for piece, at in enumerate(range(0, len(data), 4 * size)):
-                        own = data[at : at + 4 * size]
-                        found.append((i, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-                frame = pd.DataFrame(found, columns=["i", "piece", "start", "length", "ids_crc32"])
-                rows = batch.iloc[frame["i"]][[ROW, "doc_id"]].reset_index(drop=True)
-                yield pd.concat([rows, frame.drop(columns="i")], axis=1)
+        texts = column.tolist()
+        found = []
+        for part in blocks(np.array([len(text) for text in texts]), BLOCK_LETTERS, BLOCK_TEXTS):
+            for data in ids.of(texts[part]):
+                data += end
+                own = [data[at : at + 4 * size] for at in range(0, len(data), 4 * size)]
+                found.append([(i, i * size, len(x) // 4, zlib.crc32(x)) for i, x in enumerate(own)])
+        return pd.Series(found)
 
     return cut
 
@@ -109,10 +103,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048, text: str = "text"
     ``tokenizer`` is the path of the vocabulary file on every executor. A NULL
     text is empty: the end mark alone. Other columns are not read.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
-    rows = numbered(docs, F.col(id_column).alias("doc_id"), whole_text(text).alias("text"))
-    schema = f"{ROW} long, doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    return rows.mapInPandas(_piecer(tokenizer, size), schema)
+    fields = "array<struct<piece: int, start: long, length: long, ids_crc32: long>>"
+    cut = F.pandas_udf(_piecer(tokenizer, size), fields)
+    rows = numbered(docs, F.col(id_column).alias("doc_id"), cut(whole_text(text)).alias("cut"))
+    return rows.select(ROW, "doc_id", F.inline("cut"))
 
 
 def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,5 +172,7 @@ def pack(
     shards = max(1, -(-cut.count() // shard_pieces))
     mixed = F.xxhash64(ROW, "piece")
     dealt = cut.withColumn("order", mixed).withColumn("shard", F.pmod(mixed, F.lit(shards)))
-    schema = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in cut.schema)
-    return dealt.groupBy("shard").applyInPandas(_packer(size), f"{schema}, sequence_id long, offset long")
+    kind, dealt = dealt.schema["doc_id"].dataType, dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
+    schema = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in dealt.drop("order", "shard").schema)
+    packed = dealt.groupBy("shard").applyInPandas(_packer(size), f"{schema}, sequence_id long, offset long")
+    return packed.withColumn("doc_id", F.col("doc_id").cast(kind))

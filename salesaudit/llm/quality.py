@@ -54,9 +54,8 @@ def features(text: str) -> np.ndarray:
 WIDTH = len(features(""))
 
 
-def _described(batches: Batches) -> Batches:
-    for batch in batches:
-        yield batch.drop(columns="text").assign(x=[features(text).tobytes() for text in batch["text"]])
+def _described(texts: pd.Series) -> pd.Series:
+    return pd.Series([features(text).tobytes() for text in texts])
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -198,11 +197,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, text: str
     texts are empty and get a score like any other. If there are no positives or
     no unlabelled rows, every score is 0.5.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
     known = labels.groupBy(F.col(id_column).alias("doc_id")).agg(F.max(label).alias("label")).filter("label IS NOT NULL")
-    rows = numbered(docs, F.col(id_column).alias("doc_id").cast("string"), F.coalesce(learn, F.lit(False)).alias("learn"), whole_text(text).alias("text"))
-    described = saved(rows.mapInPandas(_described, f"{ROW} long, doc_id string, learn boolean, x binary"), "features")
-    described = described.withColumn("doc_id", F.col("doc_id").cast(kind))
+    described = F.pandas_udf(_described, "binary")(whole_text(text)).alias("x")
+    rows = numbered(docs, F.col(id_column).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), described)
+    described = saved(rows, "features")
     learning = described.filter("learn").join(known, "doc_id", "left")
     learning = saved(
         learning.filter("label IS NULL OR label = 1").select("x", F.coalesce(F.col("label") == 1, F.lit(False)).alias("positive")), "learning"

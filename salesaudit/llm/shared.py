@@ -24,8 +24,9 @@ def saved(frame: DataFrame, name: str) -> DataFrame:
 def numbered(docs: DataFrame, *columns: Column) -> DataFrame:
     """``columns`` of ``docs`` after a number of each row, unique but not gapless.
 
-    The number depends on the order of rows in the input's partitions alone.
-    Documents are told apart by it, so that repeated or NULL ids do no harm.
+    Rows are told apart by it, so that repeated or NULL ids do no harm. It holds
+    within one reading of ``docs``, once that is saved: another reading may deal
+    the rows out in another way.
     """
     return docs.select(F.monotonically_increasing_id().alias(ROW), *columns)
 
@@ -35,6 +36,14 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def text_keys(name: str = "text") -> list[Column]:
+    """Two independent 64-bit hashes of the whole text: what joins one reading of a table with another."""
+    return [F.xxhash64(whole_text(name)).alias("__key1"), F.xxhash64(F.lit("second"), whole_text(name)).alias("__key2")]
+
+
+KEYS = ["__key1", "__key2"]
+
+
 def fold(name: str, remainder: int, modulus: int) -> Column:
     """Whether crc32(id as text) leaves ``remainder``; false for a NULL id."""
     crc = F.crc32(F.col(name).cast("string").cast("binary"))
