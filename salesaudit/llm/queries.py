@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesaudit.llm import chat, decontaminate, exact, language, licenses, lm, neardup, packing, quality
+from salesaudit.llm import chat, decontaminate, exact, language, licenses, lm, neardup, packing, passages, quality
 from salesaudit.llm.shared import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,10 @@ def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_formatting": op2_chat_formatting,
@@ -95,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
