@@ -7,8 +7,8 @@ doubles.
 
 from __future__ import annotations
 
-from salesaudit.catalogue.queries import AS_OF
-from salesaudit.sources.schema import COLUMNS, EXPECTED_ROWS, IDENTIFIERS, ITEM_IDENTIFIERS
+from salesaudit.catalogue.queries import AS_OF, EXPECTED_ROWS, SHOWN
+from salesaudit.sources.schema import COLUMNS, IDENTIFIERS, ITEM_IDENTIFIERS
 from salesaudit.sources.star import star_sql
 
 P = "total_payment"
@@ -200,10 +200,10 @@ def _groups(identifiers: tuple[str, ...], present: bool, *names: str) -> str:
     )
 
 
-def _top_values(name: str) -> str:
+def _top_values(name: str, limit: str = "LIMIT 1000") -> str:
     return f"""SELECT {name}, COUNT(*) AS occurrences FROM sales
         WHERE {name} IS NOT NULL AND TRIM({name}) <> ''
-        GROUP BY {name} HAVING COUNT(*) > 1 ORDER BY occurrences DESC, {name} LIMIT 1000"""
+        GROUP BY {name} HAVING COUNT(*) > 1 ORDER BY occurrences DESC, {name} {limit}"""
 
 
 def _distinct(name: str) -> str:
@@ -226,6 +226,14 @@ IDENTIFIER_QUERIES = {
         {PAID} AS combined_payment, MIN(transaction_date) AS first_transaction,
         MAX(transaction_date) AS last_transaction FROM sales WHERE transaction_id IS NOT NULL
         GROUP BY transaction_id HAVING COUNT(*) > 1 ORDER BY record_count DESC, transaction_id LIMIT 10000""",
+    "all_duplicate_transactions": f"""SELECT transaction_id, COUNT(*) AS record_count,
+        {PAID} AS combined_payment, MIN(transaction_date) AS first_transaction,
+        MAX(transaction_date) AS last_transaction FROM sales WHERE transaction_id IS NOT NULL
+        GROUP BY transaction_id HAVING COUNT(*) > 1""",
+    "all_duplicate_sales_items": _top_values("sales_item_id", ""),
+    "all_duplicate_transaction_ids": _top_values("transaction_id", ""),
+    "all_duplicate_primary_tickets": _top_values("primary_ticket_id", ""),
+    "all_repeated_accounts": _top_values("internal_account_id", ""),
     "duplicate_sales_items": _top_values("sales_item_id"),
     "duplicate_transaction_ids": _top_values("transaction_id"),
     "duplicate_primary_tickets": _top_values("primary_ticket_id"),
@@ -570,7 +578,7 @@ ISSUES = [
         "Duplicate transactions",
         "REVIEW",
         "'Repeated transaction IDs were detected.'",
-        f"{_number('repeated')} || ' duplicate transaction groups are present in the exported sample.'",
+        f"{_number('repeated')} || ' duplicate transaction groups are present in the table.'",
         "Could represent legitimate multi-line transactions or duplicate records.",
         "'Investigate transaction grain before deduplicating.'",
         "repeated > 0",
@@ -652,6 +660,8 @@ MEAN_4 = "((CAST(revenue * 100 AS HUGEINT) * 200 + paid) // (2 * paid))"
 
 FINDINGS = {
     "row_count_reconciliation": f", {FACTS}, {REPEATED} " + " UNION ALL ".join(ROW_ISSUES),
+    "row_count_reconciliation_match": f", {FACTS}, {REPEATED} "
+    + ROW_ISSUES[0].replace(f"n = {EXPECTED_ROWS}", "n = (SELECT COUNT(*) FROM lineitem)"),
     "business_issues": f", {FACTS}, {REPEATED} " + " UNION ALL ".join(ISSUES),
     "executive_kpis": f", {FACTS}, {REPEATED}, i AS ({' UNION ALL '.join(ISSUES)}) "
     + _lines(
@@ -752,19 +762,26 @@ def _plain(name: str) -> str:
         FROM sales GROUP BY sales.{name}"""
 
 
+def _charts(shown: dict[str, int]) -> str:
+    def points(series: str, *parts: str) -> str:
+        return _points(series, *parts, limit=shown.get(series))
+
+    return " UNION ALL ".join(points(*parts) for parts in CHARTS)
+
+
 CHARTS = [
-    _points("yearly_revenue", "y", '"year"', "revenue", '"year"'),
-    _points("yearly_records", "y", '"year"', "records", '"year"'),
-    _points("yearly_records_top", "y", '"year"', "records", '"year"', 10),
-    _points("monthly_revenue", "m", '"month"', "revenue", '"month"'),
-    _points("monthly_records", "m", '"month"', "records", '"month"'),
-    _points("monthly_average", "m", '"month"', "average_payment", '"month"'),
-    _points("product_revenue", "p", "k", "revenue", _falling("revenue", "k"), 15),
-    _points("product_records", "p", "k", "records", _falling("records", "k"), 10),
-    _points("channel_revenue", "c", "k", "revenue", _falling("revenue", "k")),
-    _points("payment_percentiles", "q", "percentile", "payment", "position"),
-    _points("missing_share", "ms", "column_name", "missing_percentage", "missing_percentage, column_name"),
-    _points("missing_count", "ms", "column_name", "missing_count", _falling("missing_count", "column_name"), 12),
+    ("yearly_revenue", "y", '"year"', "revenue", '"year"'),
+    ("yearly_records", "y", '"year"', "records", '"year"'),
+    ("yearly_records_top", "y", '"year"', "records", '"year"'),
+    ("monthly_revenue", "m", '"month"', "revenue", '"month"'),
+    ("monthly_records", "m", '"month"', "records", '"month"'),
+    ("monthly_average", "m", '"month"', "average_payment", '"month"'),
+    ("product_revenue", "p", "k", "revenue", _falling("revenue", "k")),
+    ("product_records", "p", "k", "records", _falling("records", "k")),
+    ("channel_revenue", "c", "k", "revenue", _falling("revenue", "k")),
+    ("payment_percentiles", "q", "percentile", "payment", "position"),
+    ("missing_share", "ms", "column_name", "missing_percentage", "missing_percentage, column_name"),
+    ("missing_count", "ms", "column_name", "missing_count", _falling("missing_count", "column_name")),
 ]
 
 
@@ -777,9 +794,7 @@ def _report(name: str) -> str:
             COALESCE(format('{{:.2f}}', {share}) || '%', '0.00%') AS revenue_share FROM g"""
 
 
-SERIES = {
-    "payment_percentiles_long": PERCENTILE_LINES,
-    "chart_series": f""", y AS ({_trend(YEAR, 'year', MEAN)}), m AS ({_trend(MONTH, 'month', MEAN)}),
+CHART_TABLES = f""", y AS ({_trend(YEAR, 'year', MEAN)}), m AS ({_trend(MONTH, 'month', MEAN)}),
         p AS ({_plain('product_type')}), c AS ({_plain('application_channel')}), q AS ({PERCENTILE_LINES}),
         lines AS ({' UNION ALL '.join(
             f"SELECT '{name}' AS column_name, {_null(name)} AS missing_count, COUNT(*) AS n FROM sales"
@@ -787,7 +802,11 @@ SERIES = {
         )}),
         ms AS (SELECT column_name, missing_count, {_share('missing_count', 'n')} AS missing_percentage
             FROM lines) """
-    + " UNION ALL ".join(CHARTS),
+
+SERIES = {
+    "payment_percentiles_long": PERCENTILE_LINES,
+    "chart_series": CHART_TABLES + _charts({}),
+    "chart_series_shown": CHART_TABLES + _charts(SHOWN),
     "report_product": _report("product_type"),
     "report_channel": _report("application_channel"),
 }

@@ -16,6 +16,12 @@ from salesaudit.sources.tables import CSV, ingest_csv, read_result, save_result
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Fixed value: row count that the reconciliation queries expect.
+EXPECTED_ROWS = 5_335_362
+
+# How many points the published charts show of some series.
+SHOWN = {"product_revenue": 15, "product_records": 10, "yearly_records_top": 10, "missing_count": 12}
+
 # The time the star-table queries take for "now"; some sales are later.
 AS_OF = "2001-01-01 00:00:00"
 
@@ -56,6 +62,17 @@ def _published(spark: SparkSession, folder: str) -> DataFrame:
     return read_result(spark, path, report.schema)
 
 
+def _repeated_accounts(spark: SparkSession, folder: str) -> DataFrame:
+    """Accounts with more than one sales line, all of them."""
+    return audit.duplicate_values(star_sales(spark, folder, ("internal_account_id",)), "internal_account_id", None)
+
+
+def _matching_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The reconciliation where the expected count is right: that of the lines."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    return audit.row_count_reconciliation(star_sales(spark, folder, PAID), lines)
+
+
 QUERIES: dict[str, Query] = {
     # sources and samples
     "ingest_csv": _ingested,
@@ -112,6 +129,13 @@ QUERIES: dict[str, Query] = {
     "duplicate_sales_items": _over(audit.duplicate_sales_items, "sales_item_id"),
     "duplicate_transaction_ids": _over(audit.duplicate_transaction_ids, "transaction_id"),
     "duplicate_primary_tickets": _over(audit.duplicate_primary_tickets, "primary_ticket_id"),
+    "all_duplicate_transactions": _over(
+        audit.duplicate_transactions, "transaction_id", "transaction_date", *PAID, top=None
+    ),
+    "all_duplicate_sales_items": _over(audit.duplicate_sales_items, "sales_item_id", top=None),
+    "all_duplicate_transaction_ids": _over(audit.duplicate_transaction_ids, "transaction_id", top=None),
+    "all_duplicate_primary_tickets": _over(audit.duplicate_primary_tickets, "primary_ticket_id", top=None),
+    "all_repeated_accounts": _repeated_accounts,
     "duplicate_summary": _over(
         audit.duplicate_summary, "sales_item_id", "transaction_id", "primary_ticket_id"
     ),
@@ -200,7 +224,8 @@ QUERIES: dict[str, Query] = {
         *PAID,
     ),
     # findings
-    "row_count_reconciliation": _over(audit.row_count_reconciliation, *PAID),
+    "row_count_reconciliation": _over(audit.row_count_reconciliation, *PAID, expected_rows=EXPECTED_ROWS),
+    "row_count_reconciliation_match": _matching_rows,
     "business_issues": _over(
         audit.business_issues,
         "primary_ticket_id",
@@ -209,6 +234,7 @@ QUERIES: dict[str, Query] = {
         "transaction_date",
         *PAID,
         as_of=AS_OF,
+        expected_rows=EXPECTED_ROWS,
     ),
     "executive_kpis": _over(
         audit.executive_kpis,
@@ -218,6 +244,7 @@ QUERIES: dict[str, Query] = {
         "transaction_date",
         *PAID,
         as_of=AS_OF,
+        expected_rows=EXPECTED_ROWS,
     ),
     "audit_flags": _over(audit.audit_flags, "primary_ticket_id", "is_hospitality", *PAID),
     "quality_scorecard": _over(
@@ -232,6 +259,7 @@ QUERIES: dict[str, Query] = {
     # chart data and report tables
     "payment_percentiles_long": _over(audit.payment_percentiles_long, *PAID),
     "chart_series": _over(audit.chart_series, *COLUMNS),
+    "chart_series_shown": _over(audit.chart_series, *COLUMNS, shown=SHOWN),
     "report_product": _over(audit.report_product, *PRODUCT),
     "report_channel": _over(audit.report_channel, *CHANNEL),
 }

@@ -40,6 +40,11 @@ def with_optional(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns(typed).where(F.lit(False))
 
 
+def first_rows(df: DataFrame, top: int | None) -> DataFrame:
+    """The first ``top`` rows of an ordered frame, None for all."""
+    return df if top is None else df.limit(top)
+
+
 # --- missing values -------------------------------------------------------
 
 
@@ -48,11 +53,6 @@ def is_blank(column: Column) -> Column:
     return F.trim(column) == ""
 
 
-def is_missing(column: Column) -> Column:
-    """NULL or blank text."""
-    return column.isNull() | is_blank(column)
-
-
 def is_present(column: Column) -> Column:
     """Text that is neither NULL nor blank."""
     return column.isNotNull() & ~is_blank(column)

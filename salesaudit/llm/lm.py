@@ -157,13 +157,9 @@ def _node_key(depth: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
 class Tree:
     """The nodes kept for scoring, in order of their keys."""
 
-    def __init__(self, nodes: pd.DataFrame):
-        keys = (nodes["depth"].to_numpy(np.int64) << 40) | (nodes["context"].to_numpy(np.int64) << 8) | nodes["node"].to_numpy(np.int64)
+    def __init__(self, keys: np.ndarray, one: np.ndarray, stop: np.ndarray):
         order = np.argsort(keys)
-        self.keys = keys[order]
-        zeros, ones = (nodes[x].to_numpy(np.float64)[order] for x in ("zeros", "ones"))
-        self.one = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
-        self.stop = nodes["stop"].to_numpy(np.float32)[order]
+        self.keys, self.one, self.stop = keys[order], one[order], stop[order]
         self.known, self.logs = np.zeros(0, np.int64), np.zeros(0)
 
     def _log10(self, codes: np.ndarray) -> np.ndarray:
@@ -204,12 +200,16 @@ class Tree:
 
 
 def _scorer(tree: DataFrame, head: DataFrame) -> Callable[[Column], Column]:
-    context = tree.sparkSession.sparkContext
-    shared = context.broadcast((Tree(tree.toPandas()), head.orderBy("key").toPandas()))
+    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
+    key = F.shiftleft(F.col("depth").cast("long"), 40) + F.shiftleft("context", 8) + F.col("node")
+    nodes = tree.select(key.alias("key"), one.cast("float").alias("one"), F.col("stop").cast("float").alias("stop"))
+    columns = (column.to_numpy() for column in nodes.toArrow().columns)
+    common = head.select("key", F.log10(F.col("n") + 1.0).alias("log")).orderBy("key").toArrow()
+    held = (Tree(*columns), common["key"].to_numpy(), common["log"].to_numpy())
+    shared = tree.sparkSession.sparkContext.broadcast(held)
 
     def scored(column: pd.Series) -> pd.DataFrame:
-        model, frame = shared.value
-        words, logs = frame["key"].to_numpy(np.int64), np.log10(frame["n"].to_numpy(np.float64) + 1)
+        model, words, logs = shared.value
         texts = column.tolist()
         data = [text.encode("utf-8", "replace") for text in texts]
         rows = []
@@ -232,8 +232,8 @@ def language_model_scores(
     learn: Column,
     text: str = "text",
     id_column: str = "doc_id",
-    most_nodes: int = 1 << 20,
-    head_words: int = 1 << 18,
+    most_nodes: int = 1 << 19,
+    head_words: int = 1 << 17,
 ) -> DataFrame:
     """Per row of ``docs``: row, doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 

@@ -10,6 +10,7 @@ from salesaudit.functions.exprs import (
     ascending,
     attach,
     descending,
+    first_rows,
     mean,
     money_share,
     with_optional,
@@ -25,7 +26,7 @@ def _known(sales: DataFrame) -> DataFrame:
 
 def account_activity(sales: DataFrame, top: int | None = 10_000) -> DataFrame:
     """The accounts with the most revenue; ``top=None`` lists all."""
-    accounts = _known(sales).groupBy(ACCOUNT).agg(
+    accounts = with_optional(_known(sales), "transaction_date").groupBy(ACCOUNT).agg(
         F.count(F.lit(1)).alias("transactions"),
         F.sum("total_payment").alias("paid"),
         F.count("total_payment").alias("payments"),
@@ -33,7 +34,7 @@ def account_activity(sales: DataFrame, top: int | None = 10_000) -> DataFrame:
         F.max("transaction_date").alias("last_transaction"),
     )
     accounts = accounts.orderBy(*descending("paid"), *ascending(ACCOUNT))
-    return (accounts if top is None else accounts.limit(top)).select(
+    return first_rows(accounts, top).select(
         ACCOUNT,
         "transactions",
         as_double(F.col("paid")).alias("revenue"),
@@ -56,12 +57,15 @@ def _shares(accounts: DataFrame, total: str) -> DataFrame:
     )
 
 
-def revenue_concentration(sales: DataFrame, top: int = 10_000) -> DataFrame:
+def revenue_concentration(sales: DataFrame, top: int | None = 10_000) -> DataFrame:
     """Share and cumulative share of the accounts with the most revenue.
 
     The running sum looks backward only, so it is taken over the ``top``
-    accounts alone: its one window task never sees more rows than that.
+    accounts alone: its one window task never sees more rows than that. All
+    accounts, ``top=None``, go by :func:`revenue_concentration_full`.
     """
+    if top is None:
+        return revenue_concentration_full(sales)
     revenue = _revenue(sales)
     order = descending("paid") + ascending(ACCOUNT)
     so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -23,7 +23,7 @@ from salesaudit.operators.overview import (
     total_revenue,
     whole_table,
 )
-from salesaudit.sources.schema import EXPECTED_ROWS, ITEM_IDENTIFIERS
+from salesaudit.sources.schema import ITEM_IDENTIFIERS
 
 # Texts of the issue register, in order of emission.
 # name: (category, severity, issue, business impact, recommended action)
@@ -123,14 +123,15 @@ def _issue(rule: str, evidence: Column, fires: Column | None = None, about: Colu
 
 
 def row_count_reconciliation(
-    sales: DataFrame, expected_rows: int = EXPECTED_ROWS, facts: DataFrame | None = None
+    sales: DataFrame, expected_rows: int | None = None, facts: DataFrame | None = None
 ) -> DataFrame:
-    """The first line of the register: actual against expected row count."""
+    """The first line of the register: actual against expected row count; no
+    line if none is expected."""
     facts = facts or table_facts(sales)
     return lines(facts, _row_count_rules(expected_rows)).select(*REGISTER)
 
 
-def _row_count_rules(expected_rows: int) -> list[Column]:
+def _row_count_rules(expected_rows: int | None) -> list[Column]:
     rows, expected = F.col("total_rows"), F.lit(expected_rows).cast("bigint")
     return [
         _issue("rows_match", _sentence("{} records audited.", count_text(rows)), rows == expected),
@@ -146,13 +147,12 @@ def _counted(rule: str, count: Column, template: str, about: Column | None = Non
     return _issue(rule, _sentence(template, count_text(count)), count > 0, about)
 
 
-def _issue_rules(facts: DataFrame, expected_rows: int, cap: int | None) -> list[Column]:
+def _issue_rules(facts: DataFrame, expected_rows: int | None) -> list[Column]:
     """One struct per rule over the whole-table row with its duplicate count;
     NULL where the rule does not fire."""
     names = [name for name in REQUIRED_IDENTIFIERS if f"null {name}" in facts.columns]
     latest = F.col("latest_transaction")
     groups = F.col("duplicates.repeated_values")
-    groups = F.least(groups, F.lit(cap)) if cap else groups
     return [
         *_row_count_rules(expected_rows),
         _counted("null_payments", F.col("null_payments"), "{} records have NULL total_payment."),
@@ -176,7 +176,7 @@ def _issue_rules(facts: DataFrame, expected_rows: int, cap: int | None) -> list[
             about=F.date_format(latest, "MMMM yyyy"),
         ),
         _counted(
-            "duplicates", groups, "{} duplicate transaction groups are present in the exported sample."
+            "duplicates", groups, "{} duplicate transaction groups are present in the table."
         ),
     ]
 
@@ -189,21 +189,19 @@ def _with_duplicates(facts: DataFrame, sales: DataFrame, profile: DataFrame | No
 
 def business_issues(
     sales: DataFrame,
-    expected_rows: int = EXPECTED_ROWS,
+    expected_rows: int | None = None,
     as_of: str | datetime | None = None,
-    cap: int | None = None,
     facts: DataFrame | None = None,
     profile: DataFrame | None = None,
 ) -> DataFrame:
     """The issue register. ``facts`` is a kept :func:`whole_table`.
 
-    ``as_of`` switches the rule on future dates on. All duplicate groups count;
-    ``cap=10000`` gives the older figure, the length of the exported list. The
-    partial-month line names the month of the latest sale and stays out if that
+    ``as_of`` switches the rule on future dates on, ``expected_rows`` the line
+    on the row count. All duplicate groups count. The partial-month line names the month of the latest sale and stays out if that
     month is complete.
     """
     facts = facts or whole_table(sales, as_of)
-    rules = _issue_rules(facts, expected_rows, cap)
+    rules = _issue_rules(facts, expected_rows)
     return lines(_with_duplicates(facts, sales, profile), rules).orderBy("position").select(*REGISTER)
 
 
@@ -217,9 +215,8 @@ def _figures(row: DataFrame, figures: dict[str, Column]) -> DataFrame:
 
 def executive_kpis(
     sales: DataFrame,
-    expected_rows: int = EXPECTED_ROWS,
+    expected_rows: int | None = None,
     as_of: str | datetime | None = None,
-    cap: int | None = None,
     facts: DataFrame | None = None,
     profile: DataFrame | None = None,
     median: DataFrame | None = None,
@@ -229,7 +226,7 @@ def executive_kpis(
     row = attach(
         _with_duplicates(facts, sales, profile), rank=median or payment_percentiles(sales, median=0.5)
     )
-    found = [rule.isNotNull().cast("int") for rule in _issue_rules(facts, expected_rows, cap)]
+    found = [rule.isNotNull().cast("int") for rule in _issue_rules(facts, expected_rows)]
     figures = {
         "Total records": F.col("total_rows"),
         "Total revenue": F.col("revenue"),

@@ -17,6 +17,7 @@ from salesaudit.functions.exprs import (
     ascending,
     blank_to_null,
     existing,
+    first_rows,
     is_present,
     named,
     with_optional,
@@ -111,10 +112,11 @@ def duplicate_identifier_summary(sales: DataFrame, profile: DataFrame | None = N
     )
 
 
-def duplicate_transactions(sales: DataFrame, top: int = 10_000) -> DataFrame:
-    """The transaction ids with the most rows, with payment and date span."""
-    sales = with_optional(sales, "transaction_id").where(F.col("transaction_id").isNotNull())
-    return (
+def duplicate_transactions(sales: DataFrame, top: int | None = 10_000) -> DataFrame:
+    """The transaction ids with the most rows, with payment and date span;
+    ``top=None`` lists all that repeat."""
+    sales = with_optional(sales, "transaction_id", "transaction_date").where(F.col("transaction_id").isNotNull())
+    repeated = (
         sales.groupBy("transaction_id")
         .agg(
             F.count(F.lit(1)).alias("record_count"),
@@ -124,46 +126,46 @@ def duplicate_transactions(sales: DataFrame, top: int = 10_000) -> DataFrame:
         )
         .where(F.col("record_count") > 1)
         .orderBy(F.desc("record_count"), "transaction_id")
-        .limit(top)
     )
+    return first_rows(repeated, top)
 
 
-def duplicate_values(sales: DataFrame, identifier: str, top: int = 1_000) -> DataFrame:
-    """The non-blank values of an identifier that occur most often."""
-    return (
+def duplicate_values(sales: DataFrame, identifier: str, top: int | None = 1_000) -> DataFrame:
+    """The non-blank values of an identifier that occur most often; ``top=None``
+    lists all that repeat."""
+    sales = with_optional(sales, identifier)
+    repeated = (
         sales.where(is_present(named(identifier)))
         .groupBy(identifier)
         .agg(F.count(F.lit(1)).alias("occurrences"))
         .where(F.col("occurrences") > 1)
         .orderBy(F.desc("occurrences"), identifier)
-        .limit(top)
     )
+    return first_rows(repeated, top)
 
 
-def duplicate_sales_items(sales: DataFrame, top: int = 1_000) -> DataFrame:
+def duplicate_sales_items(sales: DataFrame, top: int | None = 1_000) -> DataFrame:
     return duplicate_values(sales, "sales_item_id", top)
 
 
-def duplicate_transaction_ids(sales: DataFrame, top: int = 1_000) -> DataFrame:
+def duplicate_transaction_ids(sales: DataFrame, top: int | None = 1_000) -> DataFrame:
     return duplicate_values(sales, "transaction_id", top)
 
 
-def duplicate_primary_tickets(sales: DataFrame, top: int = 1_000) -> DataFrame:
+def duplicate_primary_tickets(sales: DataFrame, top: int | None = 1_000) -> DataFrame:
     return duplicate_values(sales, "primary_ticket_id", top)
 
 
-def duplicate_summary(sales: DataFrame, cap: int | None = None) -> DataFrame:
-    """Repeated non-blank values of three identifiers. ``cap=1000`` gives the
-    earlier report, which counted the lines of its top-1,000 lists."""
+def duplicate_summary(sales: DataFrame) -> DataFrame:
+    """Repeated non-blank values of three identifiers, all of them counted."""
     names = ("sales_item_id", "transaction_id", "primary_ticket_id")
-    groups = F.col("repeated_values")
     return identifier_profile(sales, names, present_or_null).orderBy("position").select(
-        "identifier", (F.least(groups, F.lit(cap)) if cap else groups).alias("duplicate_groups")
+        "identifier", F.col("repeated_values").alias("duplicate_groups")
     )
 
 
 def duplicate_group_summary(sales: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """Repeated values of the six item identifiers, without a cap.
+    """Repeated values of the six item identifiers.
 
     Both value columns hold the number of groups, as the published report does.
     """
@@ -196,6 +198,7 @@ def potential_data_grain(sales: DataFrame) -> DataFrame:
         "unique_subscription_instances": "subscription_instance_id",
     }
     pair = ("product_type", "sale_type")
+    sales = with_optional(sales, *pair, *distinct.values())
     values = F.array(*(blank_to_null(F.col(column)) for column in distinct.values()))
     rows = sales.select(*pair, "total_payment", F.posexplode(values).alias("position", "value"))
     first = F.col("position") == 0

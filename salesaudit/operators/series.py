@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,10 +49,6 @@ def payment_percentiles_long(sales: DataFrame, statistics: DataFrame | None = No
     return long.select((F.col("at") + 1).alias("position"), "pair.*").orderBy("position")
 
 
-# Series that show only their first points.
-SHOWN = {"product_revenue": 15, "product_records": 10, "yearly_records_top": 10, "missing_count": 12}
-
-
 def label_values(result: DataFrame, label: Column, **series: tuple[Column, Column | None]) -> DataFrame:
     """Points of one or more series from one pass over a report.
 
@@ -119,10 +116,15 @@ def _group_points(sales: DataFrame) -> DataFrame:
 
 
 def chart_series(
-    sales: DataFrame, statistics: DataFrame | None = None, missing: DataFrame | None = None
+    sales: DataFrame,
+    statistics: DataFrame | None = None,
+    missing: DataFrame | None = None,
+    shown: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """The data behind every chart: (series, position, label, value) lines.
 
+    All points, numbered within their series; ``shown`` is how many first ones
+    to give of the series that it names.
     Four passes: periods, groups, percentiles, missing values. What is numbered
     here are report lines (types, channels, periods, columns), never rows.
     """
@@ -144,9 +146,9 @@ def chart_series(
     ]
     in_series = Window.partitionBy("series").orderBy("place", "label")
     points = reduce(DataFrame.unionByName, reports).withColumn("position", F.row_number().over(in_series))
-    hidden = [(F.col("series") == name) & (F.col("position") > top) for name, top in SHOWN.items()]
-    shown = points.where(~reduce(Column.__or__, hidden))
-    return shown.select("series", "position", "label", "value").orderBy("series", "position")
+    for name, top in (shown or {}).items():
+        points = points.where((F.col("series") != name) | (F.col("position") <= top))
+    return points.select("series", "position", "label", "value").orderBy("series", "position")
 
 
 def _report(performance: DataFrame, dimension: str) -> DataFrame:

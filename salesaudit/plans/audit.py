@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import salesaudit as audit
-from salesaudit.sources.schema import EXPECTED_ROWS
 from salesaudit.sources.tables import save_result
 
 
@@ -16,8 +15,7 @@ def run_audit(
     sales: DataFrame,
     folder: str,
     as_of: str | datetime | None = None,
-    expected_rows: int = EXPECTED_ROWS,
-    cap: int | None = None,
+    expected_rows: int | None = None,
 ) -> dict[str, str]:
     """Write every report of the audit to ``folder``; report name -> path.
 
@@ -63,11 +61,9 @@ def run_audit(
         "23_product_description_performance": audit.product_description_performance(sales),
         "24_top_account_activity": audit.account_activity(sales),
         "25_revenue_concentration": audit.revenue_concentration(sales),
-        "26_business_issue_register": audit.business_issues(
-            sales, expected_rows, as_of, cap, facts, profile
-        ),
+        "26_business_issue_register": audit.business_issues(sales, expected_rows, as_of, facts, profile),
         "27_executive_kpis": audit.executive_kpis(
-            sales, expected_rows, as_of, cap, facts, profile, median
+            sales, expected_rows, as_of, facts, profile, median
         ),
     }
-    return {name: save_result(report, folder, name) for name, report in reports.items()}
+    return {name: save_result(report, folder, name, one_file=True) for name, report in reports.items()}

@@ -11,13 +11,16 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (a local test session) is a temporary folder chosen and set.
+    The cluster names it in ``spark.checkpoint.dir``. Only in a local session
+    where that is unset is a temporary folder chosen and set; executors of a
+    cluster would not see it, so there it is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = context.getCheckpointDir()
+    if folder is None and context.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if folder is None:
         folder = tempfile.mkdtemp(prefix="salesaudit-")
     if context.getCheckpointDir() is None:

@@ -55,8 +55,5 @@ IDENTIFIERS = (
 # The scorecard and the duplicate-group report leave the account id out.
 ITEM_IDENTIFIERS = IDENTIFIERS[:-1]
 
-# Fixed value: row count of the verified load, the default for reconciliation.
-EXPECTED_ROWS = 5_335_362
-
 # Fixed value: label that stands for NULL in a breakdown.
 NULL_LABEL = "[NULL]"

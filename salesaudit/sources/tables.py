@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import FractionalType, StructType
 
 from salesaudit.sources.schema import SALES
 
@@ -26,13 +26,19 @@ READ_CSV = {**CSV, "nullValue": "\u0000", "emptyValue": ""}
 
 YEAR_FOLDER = "sale_year"
 
+# Spark's names of the errors for a path without data.
+ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
 
 def load_sales(spark: SparkSession, source: str, format: str | None = None, **options) -> DataFrame:
     """The sales table by catalog name, by path, or from any Spark source.
 
     ``format="jdbc"`` with ``partitionColumn``, ``lowerBound``, ``upperBound``
     and ``numPartitions`` reads a database table in parallel. A source that
-    does not exist raises ``FileNotFoundError``.
+    does not exist raises ``FileNotFoundError``; any other error of the source
+    is passed on. Columns of the sales table come with their declared types: a
+    value that does not fit raises an error when it is read. Other columns stay
+    as they are, but for the folder column of a table that ``ingest_csv`` wrote.
     """
     if format is None and "/" not in source:
         if not spark.catalog.tableExists(source):
@@ -43,18 +49,37 @@ def load_sales(spark: SparkSession, source: str, format: str | None = None, **op
         try:
             sales = reader.load() if format == "jdbc" else reader.load(source)
         except AnalysisException as error:
+            if error.getCondition() not in ABSENT:
+                raise
             raise FileNotFoundError(f"source {source} does not exist or is empty") from error
-    return sales.drop(YEAR_FOLDER)
+    return _declared(sales)
+
+
+def _declared(sales: DataFrame) -> DataFrame:
+    """Columns of the sales table in their declared types."""
+    other = [
+        field.name for field in SALES if field.name in sales.columns and sales.schema[field.name].dataType != field.dataType
+    ]
+    for name in other:
+        kind, wanted = sales.schema[name].dataType, SALES[name].dataType
+        value = F.col(name).cast(wanted)
+        if isinstance(kind, FractionalType):
+            # Money that is not a whole number of cents would be rounded without a word.
+            lossy = value.cast(kind) != F.col(name)
+            value = F.when(lossy, F.raise_error(F.lit(f"{name} holds a value that is no {wanted.simpleString()}"))).otherwise(value)
+        sales = sales.withColumn(name, value)
+    return sales
 
 
 def read_sales_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """The raw CSV export with its declared types; a malformed row is an error.
+    """The raw CSV export with its declared types; a malformed row is an error,
+    and so is a header that names other columns or another order.
 
     Line breaks inside quoted text need ``multi_line``, which makes each file
     one task; without it Spark splits large files.
     """
     reader = spark.read.schema(SALES).options(**READ_CSV)
-    return reader.option("mode", "FAILFAST").option("multiLine", multi_line).csv(path)
+    return reader.options(mode="FAILFAST", enforceSchema=False, multiLine=multi_line).csv(path)
 
 
 def ingest_csv(spark: SparkSession, csv_path: str, table_path: str, multi_line: bool = False) -> DataFrame:
@@ -66,26 +91,33 @@ def ingest_csv(spark: SparkSession, csv_path: str, table_path: str, multi_line:
     sales = read_sales_csv(spark, csv_path, multi_line).withColumn(YEAR_FOLDER, F.year("transaction_date"))
     balanced = sales.hint("rebalance", F.col(YEAR_FOLDER))
     balanced.write.mode("overwrite").partitionBy(YEAR_FOLDER).parquet(table_path)
-    return load_sales(spark, table_path)
+    return load_sales(spark, table_path).drop(YEAR_FOLDER)
 
 
-def save_result(result: DataFrame, folder: str, name: str, format: str = "csv") -> str:
-    """Write a report-sized result as one headed CSV file, or as Parquet.
+def save_result(result: DataFrame, folder: str, name: str, format: str = "csv", one_file: bool = False) -> str:
+    """Write a result as headed CSV files, or as Parquet.
 
-    Parquet keeps the parallelism of the frame and is the way for full-length
-    results.
+    It is written by as many tasks as the frame has. ``one_file`` is for
+    results of report size: one task writes them, in their order.
     """
     path = f"{folder}/{name}"
+    written = (result.coalesce(1) if one_file else result).write.mode("overwrite")
     if format == "csv":
-        result.coalesce(1).write.mode("overwrite").options(**CSV).csv(path)
+        written.options(**CSV).csv(path)
     else:
-        result.write.mode("overwrite").format(format).save(path)
+        written.format(format).save(path)
     return path
 
 
 def read_result(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """A published CSV result; no rows if it is not there."""
+    """A published CSV result; no rows if it is not there.
+
+    A bad cell is an error, and so is a header that names other columns or
+    another order.
+    """
     try:
-        return spark.read.schema(schema).options(**READ_CSV).csv(path)
-    except AnalysisException:
+        return spark.read.schema(schema).options(**READ_CSV, mode="FAILFAST", enforceSchema=False).csv(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ABSENT:
+            raise
         return spark.createDataFrame([], schema)

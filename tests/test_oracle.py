@@ -9,9 +9,11 @@ from compare import connect, differences
 from conftest import DATA
 
 import __spark_entry__ as entry
+from salesaudit.catalogue.oracle import oracle_sql
+from salesaudit.catalogue.queries import QUERIES
 
 FOLDER = os.environ.get("ORACLE_DIR", f"{DATA}/sf0.01")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +23,7 @@ def tables():
 
 def test_every_query_has_its_sql():
     assert sorted(QUERIES) == sorted(SQL)
+    assert QUERIES.keys() <= entry.queries().keys() and SQL.items() <= entry.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", QUERIES)
