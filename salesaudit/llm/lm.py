@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from salesaudit.llm.grams import blocks, word_hashes
 from salesaudit.llm.shared import ROW, numbered, saved, whole_text
 
-DEPTH = 4  # bytes of the longest context
+DEPTH = 5  # bytes of the longest context
 GRAM, WORD = 0, 1
 END_WORD = 1  # stands for the end of a text among word hashes
 BLOCK_BYTES, BLOCK_TEXTS = 1 << 21, 2000
@@ -23,7 +23,7 @@ Batches = Iterator[pd.DataFrame]
 
 
 def byte_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, code) of each byte and the end of each text: the four bytes before it and itself.
+    """(text number, code) of each byte and the end of each text: the DEPTH bytes before it and itself.
 
     The first byte has zeros before it, the end is a zero.
     """
@@ -150,8 +150,8 @@ def _most_counted(counts: DataFrame, count: Column, most: int) -> DataFrame:
 
 
 def _node_key(depth: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """One number for a node of a context: 3 bits depth, 32 bits context, 8 bits node."""
-    return (np.int64(depth) << 40) | (context << 8) | node
+    """One number for a node of a context: the depth, 48 bits for the context, 8 for the node."""
+    return (np.int64(depth) << 56) | (context << 8) | node
 
 
 class Tree:
@@ -201,7 +201,7 @@ class Tree:
 
 def _scorer(tree: DataFrame, head: DataFrame) -> Callable[[Column], Column]:
     one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
-    key = F.shiftleft(F.col("depth").cast("long"), 40) + F.shiftleft("context", 8) + F.col("node")
+    key = F.shiftleft(F.col("depth").cast("long"), 56) + F.shiftleft("context", 8) + F.col("node")
     nodes = tree.select(key.alias("key"), one.cast("float").alias("one"), F.col("stop").cast("float").alias("stop"))
     columns = (column.to_numpy() for column in nodes.toArrow().columns)
     common = head.select("key", F.log10(F.col("n") + 1.0).alias("log")).orderBy("key").toArrow()
@@ -239,7 +239,7 @@ def language_model_scores(
 
     score is log10 of the probability that context-tree weighting gives to the
     UTF-8 bytes of the text and its end: for each binary choice of a byte the KT
-    estimates of contexts of 0 to 4 bytes are mixed by their posterior weights.
+    estimates of contexts of 0 to 5 bytes are mixed by their posterior weights.
     base_score is the add-one unigram model over words (runs without blanks, A-Z
     in lower case) and an end per text. Both learn from the rows where ``learn``
     holds, from every byte and word. NULL texts are empty: one token, the end.

@@ -1,0 +1,218 @@
+"""Packing, decontamination, shared passages and the pipeline against brute force."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from texts import documents
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from salesaudit.llm.decontaminate import Windows, aligned, drop_leaks, edit_budget, leaks, plain, shared_at_least
+from salesaudit.llm.packing import pack, sum_of_squares, word_ids
+from salesaudit.llm.passages import GAP_COST, chains, repeated_passages
+
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER = Tokenizer.from_file(VOCABULARY)
+
+
+def _prose(rng: random.Random, words: int) -> list[str]:
+    return ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 5))) for _ in range(words)]
+
+
+# --- packing --------------------------------------------------------------
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aB.,'! \n\t\x1cé́ΣİⅣ½12<|>s", max_size=25), min_size=1, max_size=4))
+def test_remembered_ids_are_the_tokenizers(texts):
+    found = [np.frombuffer(x, dtype="<u4").tolist() for x in word_ids(VOCABULARY).of(texts)]
+    assert found == [TOKENIZER.encode(text, add_special_tokens=False).ids for text in texts]
+
+
+def test_marks_of_the_vocabulary_inside_texts():
+    texts = ["<|endoftext|>", "a<|endoftext|> b", "<|ENDOFTEXT|>", "the,, cat.. sat., ., ,."]
+    found = [np.frombuffer(x, dtype="<u4").tolist() for x in word_ids(VOCABULARY).of(texts)]
+    assert found == [TOKENIZER.encode(text, add_special_tokens=False).ids for text in texts]
+
+
+def test_each_place_has_the_least_sum_of_squares():
+    rng, size = random.Random(4), 16
+    lengths = [rng.randrange(1, size + 1) for _ in range(120)]
+    bins, offsets = sum_of_squares(np.array(lengths), size)
+    gaps: dict[int, int] = {}
+
+    def total() -> int:
+        counts = np.bincount([g for g in gaps.values() if g], minlength=size + 1)
+        return int((counts * counts).sum())
+
+    for length, place, offset in zip(lengths, bins.tolist(), offsets.tolist(), strict=True):
+        costs = []
+        for other in [*gaps, max(gaps, default=-1) + 1]:
+            gap = gaps.get(other, size)
+            if gap >= length:
+                before = gaps.get(other)
+                gaps[other] = gap - length
+                costs.append((total(), other))
+                if before is None:
+                    del gaps[other]
+                else:
+                    gaps[other] = before
+        assert offset == size - gaps.get(place, size)
+        gaps[place] = gaps.get(place, size) - length
+        assert total() == min(costs)[0] and gaps[place] >= 0
+
+
+def test_pieces_and_places(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(_prose(rng, rng.choice((0, 3, 200, 3000))))) for i in range(60)]
+    rows += [(100, None), (101, ""), (7, "repeated"), (7, "repeated"), (None, "x"), (2**62 + 1, "y")]
+    found = pack(documents(spark, rows), VOCABULARY, shard_pieces=50).collect()
+    expected = []
+    for doc, text in rows:
+        ids = np.array([*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        expected += [(-1 if doc is None else doc, i // 2048, i, len(ids[i : i + 2048]), zlib.crc32(ids[i : i + 2048].tobytes())) for i in range(0, len(ids), 2048)]
+    key = lambda doc: -1 if doc is None else doc
+    assert sorted((key(r["doc_id"]), r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == sorted(expected)
+    sequences: dict[int, list] = {}
+    for r in found:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for placed in sequences.values():
+        at = 0
+        for offset, length in sorted(placed):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(sequences) <= -(-sum(r["length"] for r in found) // 2048) + 4
+    assert pack(documents(spark, []), VOCABULARY).count() == 0
+
+
+# --- decontamination ------------------------------------------------------
+
+
+def _edits(pattern: bytes, text: bytes) -> int:
+    """Edits to the nearest part of a text, by the full table."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(pattern, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(text, 1):
+            before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+def _edited(rng: random.Random, data: bytes, count: int) -> bytes:
+    out = bytearray(data)
+    for _ in range(count):
+        at = rng.randrange(len(out))
+        out[at : at + 1] = rng.choice((b"", b"z", out[at : at + 1] + b"q"))
+    return bytes(out)
+
+
+def test_every_passage_within_its_budget_is_found():
+    rng = random.Random(6)
+    passages = [" ".join(_prose(rng, 30)).encode()[: rng.choice((24, 40, 60))] for _ in range(12)]
+    windows = Windows(passages, np.arange(len(passages)))
+    for trial in range(200):
+        i = rng.randrange(len(passages))
+        data = " ".join(_prose(rng, 20)).encode() + _edited(rng, passages[i], rng.randrange(8)) + " ".join(_prose(rng, 20)).encode()
+        near = {j for j, p in enumerate(passages) if _edits(p, data) <= edit_budget(len(p))}
+        assert {j for j, *_ in windows.verified(data)} == near, trial
+    assert all(shared_at_least(n) > 0 for n in range(24, 61))
+
+
+def test_banded_alignment_gives_the_edits_and_the_place():
+    assert aligned(b"abcdef", b"xxabcdefyy", 0, 4, 2) == (0, 2, 8)
+    assert aligned(b"abcdef", b"abXdef", -1, 1, 2) == (1, 0, 6)
+    assert aligned(b"abcdef", b"zzzzzz", -1, 1, 2) is None
+
+
+def test_leaks_of_documents(spark):
+    rng = random.Random(9)
+    items = [" ".join(_prose(rng, n)) for n in (4, 12, 60)]
+    clean = " ".join(_prose(rng, 300))
+    rows = [
+        (1, f"{clean} {items[1].upper()}, {clean}"),
+        (2, clean),
+        (3, clean[:500] + items[2].replace(" ", "\n- ")[40:300] + clean[:99]),
+        (4, None),
+        (5, ""),
+        (None, items[0]),
+        (6, "word " * 60_000 + items[2]),
+        (7, items[1]),
+        (7, items[1]),
+    ]
+    benchmark = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)] + [(9, None, "x"), (10, "short", "x")], "item_id long, text string, doc_id string")
+    frame = documents(spark, rows)
+    found = {(r["doc_id"], r["item_id"]) for r in leaks(frame, benchmark).collect()}
+    wanted = {(1, 1), (3, 2), (6, 2), (7, 1)} | ({(None, 0)} if len(plain(items[0])) >= 24 else set())
+    assert found == wanted
+    kept = drop_leaks(frame, benchmark)
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} >= {2, 4, 5}
+    assert kept.count() == len(rows) - 5 - ((None, 0) in wanted)
+    assert leaks(frame, benchmark.limit(0)).count() == 0 and leaks(documents(spark, []), benchmark).count() == 0
+
+
+# --- shared passages ------------------------------------------------------
+
+
+def test_the_best_chain_by_trying_all():
+    rng = random.Random(11)
+    for _ in range(60):
+        places = np.array(sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(9)}))
+
+        def value(rows: list) -> float:
+            return 5 * len(rows) - GAP_COST * ((rows[-1] - rows[0]).sum())
+
+        best = 0.0
+        for mask in range(1, 1 << len(places)):
+            rows = [places[i] for i in range(len(places)) if mask >> i & 1]
+            if all((b > a).all() for a, b in zip(rows, rows[1:], strict=False)):
+                best = max(best, value(rows))
+        assert value(list(chains(places)[0])) == pytest.approx(best)
+
+
+def test_passages_exact_and_changed(spark):
+    rng = random.Random(12)
+    shared, other = _prose(rng, 80), _prose(rng, 400)
+    changed = list(shared)
+    for at in (15, 37, 58):
+        changed[at] = "changed"
+    rows = [(1, _prose(rng, 90) + shared + _prose(rng, 30)), (2, shared + _prose(rng, 200)), (3, _prose(rng, 10) + changed)]
+    rows += [(4, _prose(rng, 300)), (5, other), (6, other), (7, shared[:45] + _prose(rng, 50)), (10, other)]
+    frame = documents(spark, [(doc, " ".join(words)) for doc, words in rows] + [(8, None), (9, "")])
+    found: dict[int, list] = {}
+    for r in repeated_passages(frame).collect():
+        found.setdefault(r["doc_id"], []).append((r["first_word"], r["n_words"], r["identity"]))
+    assert set(found) == {1, 2, 3, 5, 6, 10}
+    assert any(88 <= at <= 90 and n >= 75 for at, n, _ in found[1])
+    assert any(at == 0 and n >= 75 for at, n, _ in found[2])
+    assert any(n >= 75 and share >= 0.9 for _, n, share in found[3])
+    assert (0, 400, 1.0) in found[5] and (0, 400, 1.0) in found[6] and (0, 400, 1.0) in found[10]
+    assert repeated_passages(documents(spark, [])).count() == 0
+
+
+# --- pipeline -------------------------------------------------------------
+
+
+def test_pipeline_against_its_stages_by_hand(spark, tmp_path):
+    rng = random.Random(20)
+    item = " ".join(_prose(rng, 30))
+    base = _prose(rng, 120)
+    near = [*base[:60], "changed", *base[61:]]
+    own = {i: " ".join(_prose(rng, 100)) for i in range(10, 40)}
+    rows = [(1, " ".join(base)), (2, " ".join(base)), (3, " ".join(near)), (4, "12 34 !!"), (5, None), (6, own[10] + " " + item), *own.items()]
+    documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [name for name, _ in corpus_pipeline.STAGES][:2] == ["language ID", "exact dedup"]
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # No letters: 4 and 5. Copies: 2 stays of 1 and 2, and as the lower id of 2 and 3. A leak: 6.
+    assert {r["doc_id"] for r in found} == {2, *own}
+    assert sum(r["length"] for r in found) == sum(
+        len(TOKENIZER.encode(text, add_special_tokens=False).ids) + 1 for doc, text in rows if doc in {2, *own}
+    )
