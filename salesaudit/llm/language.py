@@ -15,7 +15,7 @@ from salesaudit.llm.shared import saved
 
 UNDETERMINED = "und"
 LONGEST = 3  # letters of an n-gram, at word ends one place is the blank
-BLOCK_LETTERS, BLOCK_TEXTS = 1 << 20, 512
+BLOCK_LETTERS, BLOCK_TEXTS = 1 << 19, 512
 HELD_GRAMS = 1 << 18  # different n-grams that a task counts before it passes them on
 BLANK = (1 << LETTERS) - 1
 
@@ -69,11 +69,11 @@ def _learner() -> Callable[[Batches], Batches]:
             return pd.DataFrame({"lang": labels[group], "gram": gram, "n": n})
 
         for batch in batches:
-            texts = [letters(text) for text in batch["text"]]
+            texts = batch["text"].tolist()
             numbers = np.array([names.setdefault(lang, len(names)) for lang in batch["lang"]])
             for part in blocks(np.array([len(text) for text in texts]), BLOCK_LETTERS, BLOCK_TEXTS):
                 own, local = np.unique(numbers[part], return_inverse=True)
-                group, gram, n = _gram_counts(texts[part], local)
+                group, gram, n = _gram_counts([letters(text) for text in texts[part]], local)
                 held.append((own[group], gram, n))
                 size += len(gram)
                 if size > 4 * HELD_GRAMS:
@@ -131,13 +131,15 @@ def _predictor(profiles: pd.DataFrame, length: int) -> Callable[[Column], Column
         return distances.argmin(axis=1), 1 - distances.min(axis=1) / (length * np.bincount(group, minlength=count).clip(1))
 
     def predicted(column: pd.Series) -> pd.DataFrame:
-        texts = [letters(text) if text is not None else np.zeros(1, np.uint32) for text in column]
-        some = np.array([i for i, text in enumerate(texts) if len(text) > 1 and langs], dtype=np.int64)
-        names, scores = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
-        for part in blocks(np.array([len(texts[i]) for i in some]), BLOCK_LETTERS, BLOCK_TEXTS):
-            best, score = scored([texts[i] for i in some[part]])
-            names[some[part]] = np.array(langs, dtype=object)[best]
-            scores[some[part]] = score
+        names, scores = np.full(len(column), UNDETERMINED, dtype=object), np.zeros(len(column))
+        given = column.fillna("").tolist()
+        for part in blocks(np.array([len(text) for text in given]), BLOCK_LETTERS, BLOCK_TEXTS):
+            texts = [letters(text) for text in given[part]]
+            some = [i for i, text in enumerate(texts) if len(text) > 1 and langs]
+            if some:
+                best, score = scored([texts[i] for i in some])
+                at = np.array(some) + part.start
+                names[at], scores[at] = np.array(langs, dtype=object)[best], score
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     return F.pandas_udf(predicted, "lang_pred string, score double")
