@@ -9,13 +9,21 @@ from salesaudit.sources.folders import new_folder
 
 ROW = "__row"
 
+# Rows of a batch that goes to Python: rows hold whole texts, so the default of 10,000 takes much memory.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def saved(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written to the shared folder and read back.
 
     Its lineage is cut, every executor reaches the files, and a lost executor
-    costs only the tasks that were reading them.
+    costs only the tasks that were reading them. From here on the session sends
+    at most ``BATCH_ROWS`` rows to Python at once.
     """
+    settings = frame.sparkSession.conf
+    if not 0 < int(settings.get(BATCH_SETTING)) <= BATCH_ROWS:
+        settings.set(BATCH_SETTING, str(BATCH_ROWS))
     path = new_folder(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
