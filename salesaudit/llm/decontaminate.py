@@ -173,8 +173,12 @@ def _cutter(batches: Batches) -> Batches:
 
 
 def _finder(block: pd.DataFrame) -> Callable[[Column], Column]:
+    built: list[Windows] = []  # once for all batches of a task
+
     def found(column: pd.Series) -> pd.Series:
-        windows = Windows([bytes(x) for x in block["passage"]], block["item_row"].to_numpy())
+        if not built:
+            built.append(Windows([bytes(x) for x in block["passage"]], block["item_row"].to_numpy()))
+        windows = built[0]
         gap = bytes(2 * WINDOW)
         texts = [plain(text) for text in column]
         rows: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]

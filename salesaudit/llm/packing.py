@@ -58,7 +58,7 @@ class WordIds:
             self.held.clear()
         held = self.held
         held[""] = b""
-        new = {word for words in runs for word in words if word not in held}
+        new = set().union(*runs).difference(held)
         if new:
             stems = {word[:-1] for word in new if word[-1] in ".,"} - held.keys()
             self._learn([*(stems | {".", ","} | {word for word in new if word[-1] not in ".,"})])
