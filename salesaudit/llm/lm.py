@@ -13,7 +13,7 @@ from salesaudit.llm.grams import blocks, word_hashes
 from salesaudit.llm.shared import ROW, numbered, saved, whole_text
 
 DEPTH = 5  # bytes of the longest context
-GRAM, WORD = 0, 1
+GRAM, WORD, ASKED = 0, 1, 2  # byte grams and words learned from, byte grams of the other texts
 END_WORD = 1  # stands for the end of a text among word hashes
 BLOCK_BYTES, BLOCK_TEXTS = 1 << 21, 2000
 HELD = 1 << 20  # different keys that a task holds before it passes their counts on
@@ -55,9 +55,9 @@ def _text_words(text: str) -> np.ndarray:
 
 
 def _counted(batches: Batches) -> Batches:
-    """(kind, key, n): byte grams and words of the texts, summed as far as memory allows."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAM: [], WORD: []}
-    sizes = {GRAM: 0, WORD: 0}
+    """(kind, key, n): byte grams and words of the texts (text, learn), summed as far as memory allows."""
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAM: [], WORD: [], ASKED: []}
+    sizes = {GRAM: 0, WORD: 0, ASKED: 0}
 
     def passed(kind: int) -> pd.DataFrame:
         keys, counts = held[kind][0]
@@ -69,11 +69,16 @@ def _counted(batches: Batches) -> Batches:
         sizes[kind] = len(held[kind][0][0])
 
     for batch in batches:
-        texts = batch["text"].tolist()
+        texts, learn = batch["text"].tolist(), batch["learn"].to_numpy(dtype=bool)
         data = [text.encode("utf-8", "replace") for text in texts]
         for part in blocks(np.array([len(x) for x in data]), BLOCK_BYTES, BLOCK_TEXTS):
-            keys = {GRAM: byte_grams(data[part])[1], WORD: np.concatenate([_text_words(text) for text in texts[part]])}
+            owner, codes = byte_grams(data[part])
+            learned = learn[part][owner]
+            words = [_text_words(text) for text, own in zip(texts[part], learn[part], strict=True) if own]
+            keys = {GRAM: codes[learned], ASKED: codes[~learned], WORD: np.concatenate(words) if words else np.zeros(0, np.int64)}
             for kind, found in keys.items():
+                if not len(found):
+                    continue
                 own = np.unique(found, return_counts=True)
                 held[kind].append(own)
                 sizes[kind] += len(own[0])
@@ -102,8 +107,13 @@ def _kt(zeros: Column, ones: Column) -> Column:
     return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - 1.1447298858494002
 
 
-def context_tree(grams: DataFrame) -> DataFrame:
-    """(depth, context, node, zeros, ones, stop) from byte grams (key, n).
+def _shorter(depth: int) -> Column:
+    """The last ``depth`` bytes of a context."""
+    return (F.col("context") % (1 << 8 * depth) if depth else F.lit(0)).cast("long").alias("context")
+
+
+def context_tree(grams: DataFrame) -> list[DataFrame]:
+    """(context, node, zeros, ones, stop) for contexts of 0 to DEPTH bytes, from byte grams (key, n).
 
     A byte is eight binary choices; node is a place in that decision tree, and
     each has a context tree of its own over the bytes before. stop is the
@@ -117,15 +127,13 @@ def context_tree(grams: DataFrame) -> DataFrame:
     level = bits.groupBy("context", node.alias("node")).agg(
         F.sum(F.when(one, 0).otherwise(F.col("n"))).alias("zeros"), F.sum(F.when(one, F.col("n")).otherwise(0)).alias("ones")
     )
-    tree, weighted = None, _kt(F.col("zeros"), F.col("ones"))
+    levels, weighted = [], _kt(F.col("zeros"), F.col("ones"))
     level = level.withColumn("weighted", weighted).withColumn("stop", F.lit(1.0))
     for depth in range(DEPTH, -1, -1):
         level = saved(level, f"contexts-{depth}")
-        own = level.select(F.lit(depth).alias("depth"), "context", "node", "zeros", "ones", "stop")
-        tree = own if tree is None else tree.unionByName(own)
+        levels.append(level.select("context", "node", "zeros", "ones", "stop"))
         if depth:
-            shorter = (F.col("context") % (1 << 8 * (depth - 1))).alias("context") if depth > 1 else F.lit(0).cast("long").alias("context")
-            level = level.select(shorter, "node", "zeros", "ones", "weighted").groupBy("context", "node").agg(
+            level = level.select(_shorter(depth - 1), "node", "zeros", "ones", "weighted").groupBy("context", "node").agg(
                 F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("longer")
             )
             own_kt = _kt(F.col("zeros"), F.col("ones"))
@@ -133,7 +141,58 @@ def context_tree(grams: DataFrame) -> DataFrame:
             high = F.greatest("kt", "longer")
             both = F.exp(F.col("kt") - high) + F.exp(F.col("longer") - high)
             level = level.withColumn("weighted", high + F.ln(both / 2)).withColumn("stop", F.exp(F.col("kt") - high) / both).drop("kt", "longer")
-    return tree
+    return levels[::-1]
+
+
+def _chances(levels: list[DataFrame]) -> list[DataFrame]:
+    """(context, node, chance) by depth: the mixed chance of a one, where the context is the longest that has the node.
+
+    Contexts on the way there add what they stop with (so_far) and leave the
+    rest (left) to the longer ones.
+    """
+    found: list[DataFrame] = []
+    for depth, level in enumerate(levels):
+        own = level.select("context", "node", "stop", ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)).alias("one"))
+        if depth:
+            before = found[-1].select(F.col("context").alias("before"), "node", "so_far", "left")
+            # Contexts of up to one byte have 65,535 nodes at most.
+            before = F.broadcast(before) if depth <= 2 else before
+            own = own.withColumn("before", _shorter(depth - 1)).join(before, ["before", "node"])
+        else:
+            own = own.withColumns({"so_far": F.lit(0.0), "left": F.lit(1.0)})
+        own = own.select(
+            "context",
+            "node",
+            (F.col("so_far") + F.col("left") * F.col("one")).alias("chance"),
+            (F.col("so_far") + F.col("left") * F.col("stop") * F.col("one")).alias("so_far"),
+            (F.col("left") * (1 - F.col("stop"))).alias("left"),
+        )
+        found.append(saved(own, f"chances-{depth}"))
+    return [frame.select("context", "node", "chance") for frame in found]
+
+
+def code_logs(levels: list[DataFrame], codes: DataFrame) -> DataFrame:
+    """(key, log): log10 of the probability of each code (key, learned) by the whole tree."""
+    chances = _chances(levels)
+    choices = codes.select("key", "learned", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("choice"))
+    choices = choices.select(
+        "key",
+        "learned",
+        F.shiftright("key", 8).alias("context"),
+        F.expr("shiftleft(1, choice) + shiftright(CAST(key % 256 AS INT), 8 - choice)").alias("node"),
+        (F.expr("shiftright(CAST(key % 256 AS INT), 7 - choice) & 1") == 1).alias("bit"),
+    )
+    # Codes that were learned have all their nodes at the full depth; the others go on to shorter contexts.
+    learned = choices.filter("learned").join(chances[DEPTH], ["context", "node"]).select("key", "bit", "chance")
+    other = choices.filter("NOT learned").withColumn("chance", F.lit(None).cast("double"))
+    for depth in range(DEPTH, -1, -1):
+        own = chances[depth].select(F.col("context").alias("at"), "node", F.col("chance").alias("found"))
+        own = F.broadcast(own) if depth <= 1 else own
+        other = other.withColumn("at", _shorter(depth)).join(own, ["at", "node"], "left")
+        other = other.select("key", "context", "node", "bit", F.coalesce("chance", "found").alias("chance"))
+    other = other.select("key", "bit", F.coalesce("chance", F.lit(0.5)).alias("chance"))
+    log = F.log10(F.when(F.col("bit"), F.col("chance")).otherwise(1 - F.col("chance")))
+    return learned.unionByName(other).groupBy("key").agg(F.sum(log).alias("log"))
 
 
 def _most_counted(counts: DataFrame, count: Column, most: int) -> DataFrame:
@@ -149,82 +208,57 @@ def _most_counted(counts: DataFrame, count: Column, most: int) -> DataFrame:
     return counts.filter(band >= least) if least is not None else counts.limit(0)
 
 
-def _node_key(depth: int, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """One number for a node of a context: the depth, 48 bits for the context, 8 for the node."""
-    return (np.int64(depth) << 56) | (context << 8) | node
-
-
-class Tree:
-    """The nodes kept for scoring, in order of their keys."""
-
-    def __init__(self, keys: np.ndarray, one: np.ndarray, stop: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.one, self.stop = keys[order], one[order], stop[order]
-        self.known, self.logs = np.zeros(0, np.int64), np.zeros(0)
-
-    def _log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of the probability of the last byte after the bytes before it, for each code."""
-        byte, context = codes & 255, codes >> 8
-        total = np.zeros(len(codes))
-        for choice in range(8):
-            node = (1 << choice) | (byte >> (8 - choice))
-            bit = (byte >> (7 - choice)) & 1
-            chain: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for depth in range(DEPTH + 1):
-                keys = _node_key(depth, context & ((1 << 8 * depth) - 1), node)
-                at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
-                there = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
-                one = self.one[at].astype(np.float64) if len(self.keys) else np.full(len(keys), 0.5)
-                stop = self.stop[at].astype(np.float64) if len(self.keys) else np.ones(len(keys))
-                chain.append((there, one, stop))
-            # From the deepest context down: beyond what is kept, the estimate is that of the last context.
-            chance, deeper = np.full(len(codes), 0.5), np.zeros(len(codes), dtype=bool)
-            for there, one, stop in reversed(chain):
-                chance = np.where(there, np.where(deeper, stop * one + (1 - stop) * chance, one), chance)
-                deeper |= there
-            total += np.log10(np.where(bit == 1, chance, 1 - chance))
-        return total
-
-    def of(self, codes: np.ndarray) -> np.ndarray:
-        """As _log10, remembering codes that came before."""
-        found, back = np.unique(codes, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, found), max(0, len(self.known) - 1))
-        new = found[self.known[at] != found] if len(self.known) else found
-        if len(new):
-            if len(self.known) > HELD:
-                self.known, self.logs, new = np.zeros(0, np.int64), np.zeros(0), found
-            codes, logs = np.concatenate((self.known, new)), np.concatenate((self.logs, self._log10(new)))
-            order = np.argsort(codes, kind="stable")
-            self.known, self.logs = codes[order], logs[order]
-        return self.logs[np.searchsorted(self.known, found)][back]
-
-
-def _scorer(tree: DataFrame, head: DataFrame) -> Callable[[Column], Column]:
-    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
-    key = F.shiftleft(F.col("depth").cast("long"), 56) + F.shiftleft("context", 8) + F.col("node")
-    nodes = tree.select(key.alias("key"), one.cast("float").alias("one"), F.col("stop").cast("float").alias("stop"))
-    columns = (column.to_numpy() for column in nodes.toArrow().columns)
-    common = head.select("key", F.log10(F.col("n") + 1.0).alias("log")).orderBy("key").toArrow()
-    held = (Tree(*columns), common["key"].to_numpy(), common["log"].to_numpy())
-    shared = tree.sparkSession.sparkContext.broadcast(held)
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether it is among the sorted keys, its value or 0) of each wanted key."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    there = keys[at] == wanted
+    return there, np.where(there, values[at], 0.0)
+
+
+def _held(logs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(key, log) in order of the keys."""
+    found = logs.select("key", "log").toArrow()
+    keys, values = found["key"].to_numpy(), found["log"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
+def _scorer(codes: DataFrame, head: DataFrame) -> Callable[[Column], Column]:
+    held = (*_held(codes), *_held(head.select("key", F.log10(F.col("n") + 1.0).alias("log"))))
+    shared = codes.sparkSession.sparkContext.broadcast(held)
 
     def scored(column: pd.Series) -> pd.DataFrame:
-        model, words, logs = shared.value
+        known, known_logs, words, logs = shared.value
         texts = column.tolist()
         data = [text.encode("utf-8", "replace") for text in texts]
         rows = []
         for part in blocks(np.array([len(x) for x in data]), BLOCK_BYTES, BLOCK_TEXTS):
             owner, codes = byte_grams(data[part])
-            score = np.bincount(owner, weights=model.of(codes), minlength=part.stop - part.start)
+            found, back = np.unique(codes, return_inverse=True)
+            there, values = _looked_up(known, known_logs, found)
+            score = np.bincount(owner, weights=values[back], minlength=part.stop - part.start)
+            # The other codes, once for each text with their number; owners come in order.
+            other = ~there[back]
+            own, code = owner[other], codes[other]
+            order = np.lexsort((code, own))
+            own, code = own[order], code[order]
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]) | (code[1:] != code[:-1])
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(own)))
+            bounds = np.searchsorted(own[first], np.arange(part.stop - part.start + 1))
             for i, text in enumerate(texts[part]):
                 tokens = _text_words(text)
-                at = np.minimum(np.searchsorted(words, tokens), max(0, len(words) - 1))
-                there = words[at] == tokens if len(words) else np.zeros(len(tokens), bool)
-                rest = np.sort(tokens[~there])
-                rows.append((len(tokens), int(there.sum()), float(logs[at[there]].sum()), rest, score[i]))
-        return pd.DataFrame(rows, columns=["n_tokens", "n_head", "head_log", "rest", "score"])
+                common, values = _looked_up(words, logs, tokens)
+                mine = slice(bounds[i], bounds[i + 1])
+                rest = np.sort(tokens[~common])
+                rows.append((len(tokens), int(common.sum()), float(values.sum()), rest, score[i], code[first[mine]], times[mine]))
+        return pd.DataFrame(rows, columns=["n_tokens", "n_head", "head_log", "rest", "head_score", "codes", "times"])
 
-    return F.pandas_udf(scored, "n_tokens long, n_head long, head_log double, rest array<long>, score double")
+    fields = "rest array<long>, head_score double, codes array<long>, times array<long>"
+    return F.pandas_udf(scored, f"n_tokens long, n_head long, head_log double, {fields}")
 
 
 def language_model_scores(
@@ -244,21 +278,25 @@ def language_model_scores(
     in lower case) and an end per text. Both learn from the rows where ``learn``
     holds, from every byte and word. NULL texts are empty: one token, the end.
 
-    Counts are combined in the tasks and then by Spark; the tree's weights are
-    worked out on the whole tree. A task that scores holds the ``most_nodes``
-    nodes with the highest counts and stops at the deepest it holds, and the
-    ``head_words`` commonest words; rarer words meet their counts in a shuffle.
+    Counts are combined in the tasks and then by Spark; the tree's weights and
+    the log10 of each different code (a context of 5 bytes and the byte after
+    it) are worked out on the whole tree. A task that scores holds the
+    ``most_nodes`` commonest codes, each the last node of its path, and the
+    ``head_words`` commonest words; rarer codes and words meet their logs and
+    counts in a shuffle. So neither number changes a score.
     """
-    texts = whole_text(text).alias("text")
-    counts = docs.filter(learn).select(texts).mapInPandas(_counted, "kind int, key long, n long")
+    texts = docs.select(whole_text(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    counts = texts.mapInPandas(_counted, "kind int, key long, n long")
     counts = saved(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counts.filter(F.col("kind") == WORD).select("key", "n")
-    tree = context_tree(counts.filter(F.col("kind") == GRAM).select("key", "n"))
-    tree = _most_counted(tree, F.col("zeros") + F.col("ones"), most_nodes)
+    levels = context_tree(counts.filter(F.col("kind") == GRAM).select("key", "n"))
+    codes = counts.filter(F.col("kind") != WORD).groupBy("key").agg(F.sum("n").alias("n"), F.bool_or(F.col("kind") == GRAM).alias("learned"))
+    codes = saved(codes, "codes")
+    code_log = saved(code_logs(levels, codes).join(codes.select("key", "n"), "key"), "code-logs")
     head = saved(_most_counted(words, F.col("n"), head_words), "head-words")
     total, different = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
 
-    score = _scorer(tree, head)
+    score = _scorer(_most_counted(code_log, F.col("n"), most_nodes), head)
     rows = numbered(
         docs,
         F.col(id_column).alias("doc_id"),
@@ -270,7 +308,10 @@ def language_model_scores(
     rare = rest.join(words, "key").groupBy(ROW).agg(
         F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_log")
     )
-    found = scored.drop("rest").join(rare, ROW, "left")
+    other = scored.select(ROW, F.explode(F.arrays_zip("codes", "times")).alias("x")).select(ROW, F.col("x.codes").alias("key"), "x.times")
+    other = other.join(code_log.select("key", "log"), "key").groupBy(ROW).agg(F.sum(F.col("times") * F.col("log")).alias("rest_score"))
+    found = scored.drop("rest", "codes", "times").join(rare, ROW, "left").join(other, ROW, "left")
+    found = found.withColumn("score", F.col("head_score") + F.coalesce("rest_score", F.lit(0.0)))
     logs = F.col("head_log") + F.coalesce("rare_log", F.lit(0.0))
     return found.select(
         ROW,

@@ -173,6 +173,22 @@ def test_scores_match_plain_models(spark, head_words):
         assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9) and a[5] == pytest.approx(b[5], rel=1e-4)
 
 
+@pytest.mark.parametrize("most_nodes", [0, 8, 500])
+def test_scores_do_not_depend_on_what_tasks_hold(spark, most_nodes):
+    rng = random.Random(21)
+    rows = [(i, _text(rng, rng.choice(list(SYLLABLES)), rng.randrange(15))) for i in range(50)]
+    rows += [(100, None), (102, "日本 zzz"), (103, "the " * 60), (103, "the " * 60), (104, "ünseen QQQ the")]
+    frame = documents(spark, rows).repartition(3)
+    learn = [doc % 3 == 0 for doc, _ in rows]
+    found = language_model_scores(frame, F.col("doc_id") % 3 == 0, most_nodes=most_nodes).collect()
+    texts = [(text or "").encode() for _, text in rows]
+    counts = _tree([text for text, own in zip(texts, learn, strict=True) if own])
+    weights = _weighted(counts)
+    expected = sorted((doc, _score(counts, weights, text)) for (doc, _), text in zip(rows, texts, strict=True))
+    for a, b in zip(sorted((r["doc_id"], r["score"]) for r in found), expected, strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-9)
+
+
 def test_language_model_without_rows_or_training(spark):
     assert language_model_scores(documents(spark, []), every()).count() == 0
     (row,) = language_model_scores(documents(spark, [(1, "ab")]), F.lit(False)).collect()
