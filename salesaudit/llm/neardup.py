@@ -34,13 +34,21 @@ def _probes() -> np.ndarray:
     return (mixed(grid) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64).reshape(PROBES, BUCKETS)
 
 
+@lru_cache(maxsize=1)
+def _salts() -> np.ndarray:
+    """A number of its own for each bucket."""
+    return mixed(np.arange(BUCKETS, dtype=np.uint64) + np.uint64(1 << 32))
+
+
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """A row of registers for each set of sorted hashes; an empty set has zeros.
 
     The first bits of a hash name its bucket. A bucket keeps its lowest hash as
     the count of leading zeros and the bits after the leading one. An empty
     bucket borrows from one that another hash points to, so that sparse sets
-    agree in a register as often as they are similar.
+    agree in a register as often as they are similar. Where all probes
+    meet empty buckets, the register is a min-hash of the whole set by an order
+    of its own, so that registers of tiny sets agree independently.
     """
     found = np.zeros((len(sets), BUCKETS), dtype=np.uint16)
     for i, values in enumerate(sets):
@@ -58,7 +66,12 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
         if not empty.any():
             break
         filled[empty] = found[:, probe][empty]
-    return np.where(filled == 0, found.max(axis=1, keepdims=True), filled)
+    for i in np.flatnonzero((filled == 0).any(axis=1)).tolist():
+        if len(sets[i]):
+            empty = np.flatnonzero(filled[i] == 0)
+            low = mixed(sets[i][:, None] ^ _salts()[empty]).min(axis=0)
+            filled[i, empty] = np.maximum(low & np.uint64(0xFFFF), np.uint64(1)).astype(np.uint16)
+    return filled
 
 
 def bands(rows: np.ndarray) -> np.ndarray:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from texts import documents
 
 from salesaudit.llm.graph import components
-from salesaudit.llm.neardup import collisions, drop_near_copies, near_groups
+from salesaudit.llm.neardup import bands, collisions, drop_near_copies, near_groups, registers
 
 
 def _set(text: str | None, width: int) -> frozenset:
@@ -59,6 +60,27 @@ def test_families_of_edited_copies_match_all_pairs(spark, width):
     assert sorted(map(tuple, found.collect())) == sorted(_expected(rows, width))
 
 
+@pytest.mark.parametrize(("common", "only_a", "only_b"), [(4, 0, 1), (5, 0, 1), (8, 1, 1), (8, 0, 2), (10, 1, 1), (12, 1, 2)])
+def test_tiny_similar_sets_share_a_band(common, only_a, only_b):
+    rng, trials = np.random.default_rng(common), 4000
+    pairs = []
+    for _ in range(trials):
+        values = rng.integers(0, 1 << 64, common + only_a + only_b, dtype=np.uint64)
+        pairs += [np.sort(values[: common + only_a]), np.sort(np.delete(values, np.s_[common : common + only_a]))]
+    keys = bands(registers(pairs))
+    assert int((~(keys[::2] == keys[1::2]).any(axis=1)).sum()) == 0
+
+
+def test_short_texts_match_all_pairs(spark):
+    rng, rows = random.Random(31), []
+    for _ in range(400):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 14))]
+        rows += [" ".join(base), " ".join([*base, f"more{rng.randrange(9)}"])]
+    rows = list(enumerate(rows))
+    found = near_groups(documents(spark, rows), width=2).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, found.collect())) == sorted(_expected(rows, 2))
+
+
 def test_odd_rows(spark):
     long = " ".join(f"word{i}" for i in range(30_000))
     rows = [(7, None), (3, ""), (5, " \n"), (9, "One"), (2, "one"), (4, "one two"), (None, "ONE two"), (6, long), (1, long), (1, long), (8, "é é é")]
