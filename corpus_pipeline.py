@@ -54,7 +54,8 @@ STAGES = [
 ]
 
 # Learned profiles, sketches, alignments and a tokenizer: SQL cannot express the stages.
-# tests/llm/test_pipeline.py holds them against a brute-force version.
+# tests/llm/test_packing_leaks_passages.py holds run() against a small fixture worked out by hand; there is no
+# brute-force version of all stages yet.
 ORACLE_SQL = None
 
 
