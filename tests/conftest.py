@@ -10,8 +10,6 @@ from pyspark.sql import SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
-DATA = "/root/testdata"
-
 
 @pytest.fixture(scope="session")
 def spark():

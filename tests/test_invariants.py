@@ -5,7 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
-from conftest import DATA
+from places import DATA
 from pyspark.sql import functions as F
 
 import salesaudit as audit

@@ -6,7 +6,7 @@ import os
 
 import pytest
 from compare import connect, differences
-from conftest import DATA
+from places import DATA
 
 import __spark_entry__ as entry
 from salesaudit.catalogue.oracle import oracle_sql

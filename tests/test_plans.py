@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import DATA
+from places import DATA
 
 import salesaudit as audit
 from salesaudit.catalogue.queries import QUERIES

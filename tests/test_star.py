@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import DATA
+from places import DATA
 from pyspark.sql import functions as F
 
 from salesaudit.sources.schema import COLUMNS, SALES
