@@ -67,8 +67,36 @@ FROM placed
 WINDOW same AS (PARTITION BY class)
 """
 
+OP12 = """
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+           sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents
+), draws AS (
+    SELECT doc_id, t, n,
+           CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS c2,
+           CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+    FROM texts
+), forms AS (
+    SELECT doc_id, t, n, least(c1, c2) AS a, greatest(c1, c2) AS b,
+           CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM draws
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form
+           WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+           WHEN 'spm' THEN '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a)
+           ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM forms
+"""
+
 SQL: dict[str, str] = {
     "op2_chat_formatting": OP2,
     "op5_minhash_near_dedup": OP5,
     "op9_exact_dedup": OP9,
+    "op12_fill_in_middle": OP12,
 }

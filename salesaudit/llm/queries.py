@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesaudit.llm import chat, decontaminate, exact, language, licenses, lm, neardup, packing, passages, quality
+from salesaudit.llm import (
+    chat,
+    decontaminate,
+    exact,
+    language,
+    licenses,
+    lm,
+    middle,
+    neardup,
+    packing,
+    passages,
+    quality,
+    simhash,
+    whitening,
+)
 from salesaudit.llm.shared import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +106,22 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return passages.repeated_passages(table(spark, folder, "documents"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.simhash_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", "fingerprint", "component_id")
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = middle.fill_in_middle(table(spark, folder, "documents"))
+    made = made.withColumn("digest", middle.frame_digests("frames", "form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "digest.*")
+
+
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.whitened(table(spark, folder, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_chat_formatting": op2_chat_formatting,
@@ -103,4 +133,7 @@ QUERIES: dict[str, Query] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
