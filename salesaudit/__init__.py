@@ -2,6 +2,7 @@
 
 from salesaudit.operators.accounts import (
     account_activity,
+    account_totals,
     revenue_concentration,
     revenue_concentration_full,
 )
@@ -10,6 +11,8 @@ from salesaudit.operators.breakdown import (
     application_channel_performance,
     breakdown,
     channel_summary,
+    dimension_profile,
+    distinct_profile,
     hospitality_basic,
     hospitality_performance,
     hospitality_summary,
@@ -78,6 +81,7 @@ from salesaudit.operators.overview import (
     financial_anomalies_nonneg,
     financial_anomaly_counts,
     payment_analysis,
+    payment_frequencies,
     payment_percentiles,
     payment_sign_counts,
     payment_statistics,

@@ -16,6 +16,7 @@ from salesaudit.functions.exprs import (
     attach,
     count_share,
     descending,
+    existing,
     flag_label,
     is_present,
     mean,
@@ -24,6 +25,8 @@ from salesaudit.functions.exprs import (
     rounded_mean,
     with_optional,
 )
+from salesaudit.operators.missing import STRUCTURAL
+from salesaudit.sources.schema import SALES
 
 
 def breakdown(
@@ -40,8 +43,10 @@ def breakdown(
     digits: int | None = None,
     average: bool = True,
     extras: dict[str, Column] | None = None,
+    bounds: bool = False,
     order: str = "revenue",
     top: int | None = None,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Group ``sales`` by one dimension.
 
@@ -54,8 +59,11 @@ def breakdown(
     shares        any of "records", "revenue": percentage of the whole
     digits        round revenue and average half up, default unrounded
     extras        further aggregates, by output name
+    bounds        add the lowest and highest payment
     order         "revenue" or "records" descending, "key" ascending
     top           keep this many groups, default all
+    profile       a kept :func:`dimension_profile`: its groups are read in place of
+                  the table; ``extras`` then see its columns
 
     A table without the dimension column gives no rows. Equal places are
     ordered by the key.
@@ -63,15 +71,19 @@ def breakdown(
     name = name or dimension
     key = F.col(dimension) if key is None else key
     extras = extras or {}
-    groups = (
-        with_optional(sales, dimension)
-        .groupBy((null_label(key) if label == "before" else key).alias(name))
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum("total_payment").alias("paid"),
-            F.count("total_payment").alias("payments"),
-            *(aggregate.alias(extra) for extra, aggregate in extras.items()),
-        )
+    if bounds:
+        low, high = ("lowest", "highest") if profile is not None else ("total_payment", "total_payment")
+        extras = extras | {
+            "minimum_payment": as_double(F.min(low)),
+            "maximum_payment": as_double(F.max(high)),
+        }
+    if profile is None:
+        rows, counts = with_optional(sales, dimension), _COUNTS
+    else:
+        rows, counts = _profiled(profile, dimension), _SUMMED
+    groups = rows.groupBy((null_label(key) if label == "before" else key).alias(name)).agg(
+        *(counted(column).alias(column) for column, counted in counts.items()),
+        *(aggregate.alias(extra) for extra, aggregate in extras.items()),
     )
     if label == "after":
         groups = groups.withColumn(name, null_label(F.col(name)))
@@ -106,11 +118,56 @@ def _whole(groups: DataFrame, name: str) -> DataFrame:
     return groups.agg(F.sum("rows").alias("rows"), F.sum("paid").alias("paid"), *map(F.max, rest))
 
 
-def _bounds() -> dict[str, Column]:
-    return {
-        "minimum_payment": as_double(F.min("total_payment")),
-        "maximum_payment": as_double(F.max("total_payment")),
-    }
+# Counts of a group from rows of the table, and from rows of a profile.
+_COUNTS = {
+    "rows": lambda _: F.count(F.lit(1)),
+    "paid": lambda _: F.sum("total_payment"),
+    "payments": lambda _: F.count("total_payment"),
+}
+_SUMMED = {name: F.sum for name in _COUNTS}
+
+
+# --- one pass for many dimensions ------------------------------------------
+
+# Dimensions whose reports read one profile.
+PROFILED = (
+    "product_type",
+    "sale_type",
+    "application_channel",
+    "is_hospitality",
+    "price_level",
+    "price_type",
+    "transfer_status",
+    "resale_status",
+    "product_description",
+)
+
+
+def dimension_profile(sales: DataFrame, dimensions: tuple[str, ...] = PROFILED) -> DataFrame:
+    """Per (dimension, value): counts, sums and bounds of payments, and NULLs of the structural fields per product type.
+
+    One pass and one shuffle for all the dimensions that the table has. Rows
+    are combined per value in each task first, so that a value that most rows
+    have is one row per task. Values are kept as text.
+    """
+    names = existing(sales, dimensions)
+    fields = existing(sales, STRUCTURAL) if "product_type" in names else []
+    values = F.array(*(F.col(name).cast("string") for name in names))
+    tagged = sales.select("total_payment", *fields, F.posexplode(values).alias("position", "value"))
+    of_product = F.col("position") == (names.index("product_type") if "product_type" in names else -1)
+    groups = tagged.groupBy("position", "value").agg(
+        *(counted(column).alias(column) for column, counted in _COUNTS.items()),
+        F.min("total_payment").alias("lowest"),
+        F.max("total_payment").alias("highest"),
+        *(F.count_if(of_product & F.col(name).isNull()).alias(f"null {name}") for name in fields),
+    )
+    label = F.element_at(F.array(*map(F.lit, names)), F.col("position") + 1) if names else F.lit(None).cast("string")
+    return groups.withColumn("dimension", label).drop("position")
+
+
+def _profiled(profile: DataFrame, dimension: str) -> DataFrame:
+    own = profile.where(F.col("dimension") == dimension)
+    return own.withColumn(dimension, F.col("value").cast(SALES[dimension].dataType))
 
 
 # --- current audit --------------------------------------------------------
@@ -118,47 +175,74 @@ def _bounds() -> dict[str, Column]:
 BOTH = ("records", "revenue")
 
 
-def product_type_performance(sales: DataFrame) -> DataFrame:
-    return breakdown(sales, "product_type", label="after", shares=BOTH, extras=_bounds())
+def product_type_performance(sales: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    return breakdown(sales, "product_type", label="after", shares=BOTH, bounds=True, profile=profile)
 
 
-def sale_type_performance(sales: DataFrame) -> DataFrame:
-    return breakdown(sales, "sale_type", label="after", shares=BOTH)
+def sale_type_performance(sales: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    return breakdown(sales, "sale_type", label="after", shares=BOTH, profile=profile)
 
 
-def application_channel_performance(sales: DataFrame) -> DataFrame:
-    return breakdown(sales, "application_channel", label="after", shares=BOTH)
+def application_channel_performance(sales: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    return breakdown(sales, "application_channel", label="after", shares=BOTH, profile=profile)
 
 
-def hospitality_performance(sales: DataFrame) -> DataFrame:
+def hospitality_performance(sales: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     status = flag_label(F.col("is_hospitality"), "Hospitality", "Non-Hospitality", "[NULL]")
-    return breakdown(sales, "is_hospitality", key=status, name="hospitality_status")
+    return breakdown(sales, "is_hospitality", key=status, name="hospitality_status", profile=profile)
 
 
-def price_level_performance(sales: DataFrame) -> DataFrame:
-    return breakdown(sales, "price_level")
+def price_level_performance(sales: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    return breakdown(sales, "price_level", profile=profile)
 
 
-def price_type_performance(sales: DataFrame) -> DataFrame:
-    return breakdown(sales, "price_type")
+def price_type_performance(sales: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    return breakdown(sales, "price_type", profile=profile)
 
 
-def sales_rep_performance(sales: DataFrame) -> DataFrame:
+def sales_rep_performance(sales: DataFrame, profile: DataFrame | None = None) -> DataFrame:
     """The distinct accounts are counted per (rep, account) first, so the rows
-    without a rep, most of the table, spread over all tasks."""
+    without a rep, most of the table, spread over all tasks. ``profile`` is a
+    kept :func:`distinct_profile` over ``sales_rep``."""
+    if profile is not None:
+        return breakdown(sales, "sales_rep", extras={"accounts": F.sum("different")}, profile=profile)
     return breakdown(sales, "sales_rep", extras={"accounts": F.countDistinct("internal_account_id")})
 
 
-def transfer_status(sales: DataFrame) -> DataFrame:
-    return breakdown(sales, "transfer_status", order="records")
+def distinct_profile(sales: DataFrame, groups: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Per (dimension, value): counts, sums, and how many ``different`` values of another column.
 
+    ``groups``: name of the dimension -> expression of the group, column whose
+    different values are counted. All share one pass and one shuffle of
+    (dimension, group, value), in which a hot group is spread by its values.
+    """
+    tags = F.array(
+        *(
+            F.struct(F.lit(name).alias("dimension"), key.cast("string").alias("value"), F.col(column).cast("string").alias("item"))
+            for name, (key, column) in groups.items()
+        )
+    )
+    tagged = sales.select("total_payment", F.inline(tags))
+    items = tagged.groupBy("dimension", "value", "item").agg(
+        *(counted(column).alias(column) for column, counted in _COUNTS.items())
+    )
+    return items.groupBy("dimension", "value").agg(
+        *(F.sum(column).alias(column) for column in _COUNTS), F.count("item").alias("different")
+    )
 
-def resale_status(sales: DataFrame) -> DataFrame:
-    return breakdown(sales, "resale_status", order="records")
 
+def transfer_status(sales: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    return breakdown(sales, "transfer_status", order="records", profile=profile)
 
-def product_description_performance(sales: DataFrame, top: int = 500) -> DataFrame:
-    return breakdown(sales, "product_description", top=top)
+
+def resale_status(sales: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    return breakdown(sales, "resale_status", order="records", profile=profile)
+
+
+def product_description_performance(
+    sales: DataFrame, top: int = 500, profile: DataFrame | None = None
+) -> DataFrame:
+    return breakdown(sales, "product_description", top=top, profile=profile)
 
 
 # --- earlier audit --------------------------------------------------------
@@ -210,7 +294,7 @@ def _summary(sales: DataFrame, dimension: str, **parameters) -> DataFrame:
 
 
 def product_summary(sales: DataFrame) -> DataFrame:
-    return _summary(sales, "product_type", extras=_bounds())
+    return _summary(sales, "product_type", bounds=True)
 
 
 def channel_summary(sales: DataFrame) -> DataFrame:

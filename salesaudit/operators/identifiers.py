@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from salesaudit.functions.exprs import (
     as_double,
     ascending,
+    attach,
     blank_to_null,
     existing,
-    first_rows,
     is_present,
     named,
     with_optional,
 )
+from salesaudit.plans.ordered import cut_off, frequencies, leading
 from salesaudit.sources.schema import IDENTIFIERS, ITEM_IDENTIFIERS
 
 
@@ -125,9 +126,9 @@ def duplicate_transactions(sales: DataFrame, top: int | None = 10_000) -> DataFr
             F.max("transaction_date").alias("last_transaction"),
         )
         .where(F.col("record_count") > 1)
-        .orderBy(F.desc("record_count"), "transaction_id")
     )
-    return first_rows(repeated, top)
+    order = [F.desc("record_count"), F.asc("transaction_id")]
+    return repeated.orderBy(*order) if top is None else leading(repeated, order, top)
 
 
 def duplicate_values(sales: DataFrame, identifier: str, top: int | None = 1_000) -> DataFrame:
@@ -139,9 +140,17 @@ def duplicate_values(sales: DataFrame, identifier: str, top: int | None = 1_000)
         .groupBy(identifier)
         .agg(F.count(F.lit(1)).alias("occurrences"))
         .where(F.col("occurrences") > 1)
-        .orderBy(F.desc("occurrences"), identifier)
     )
-    return first_rows(repeated, top)
+    return _most_repeated(repeated, "occurrences", identifier, top)
+
+
+def _most_repeated(values: DataFrame, count: str, key: str, top: int | None) -> DataFrame:
+    """The ``top`` values by count, then key; the count of the last of them is found first."""
+    order = [F.desc(count), named(key).asc()]
+    if top is None:
+        return values.orderBy(*order)
+    cut = cut_off(frequencies(values, count), top)
+    return leading(attach(values, cut=cut).where(F.col(count) >= F.col("cut.amount")).drop("cut"), order, top)
 
 
 def duplicate_sales_items(sales: DataFrame, top: int | None = 1_000) -> DataFrame:

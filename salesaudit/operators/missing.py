@@ -161,14 +161,21 @@ def _shares(wide: DataFrame, label: str, share: str) -> DataFrame:
     )
 
 
-def missing_by_product_type(sales: DataFrame, total: str = "total_records") -> DataFrame:
-    """Missing structural fields per product type."""
-    sales = with_optional(sales, "product_type")
-    return (
-        sales.groupBy("product_type")
-        .agg(_rows().alias(total), *(_nulls(name).alias(f"missing_{name}") for name in STRUCTURAL))
-        .orderBy(F.desc(total), *ascending("product_type"))
-    )
+def missing_by_product_type(
+    sales: DataFrame, total: str = "total_records", profile: DataFrame | None = None
+) -> DataFrame:
+    """Missing structural fields per product type. ``profile`` is a kept dimension profile."""
+    if profile is not None:
+        groups = profile.where(F.col("dimension") == "product_type").select(
+            F.col("value").alias("product_type"),
+            F.col("rows").alias(total),
+            *(named(f"null {name}").alias(f"missing_{name}") for name in STRUCTURAL),
+        )
+    else:
+        groups = with_optional(sales, "product_type").groupBy("product_type").agg(
+            _rows().alias(total), *(_nulls(name).alias(f"missing_{name}") for name in STRUCTURAL)
+        )
+    return groups.orderBy(F.desc(total), *ascending("product_type"))
 
 
 def missing_by_product_type_nb(sales: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from salesaudit.functions.exprs import as_double, attach, mean
 from salesaudit.operators.missing import missing_counters
-from salesaudit.plans.ordered import percentiles
+from salesaudit.plans.ordered import frequencies, percentiles
 
 # Earliest plausible date and the payment thresholds.
 EARLIEST_PLAUSIBLE = "2010-01-01 00:00:00"
@@ -146,12 +146,25 @@ def dataset_overview_basic(sales: DataFrame, facts: DataFrame | None = None) ->
 
 
 def dataset_coverage(sales: DataFrame) -> DataFrame:
-    return sales.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.min("transaction_date").alias("first_transaction"),
-        F.max("transaction_date").alias("last_transaction"),
-        F.countDistinct("transaction_id").alias("distinct_transactions"),
-        F.countDistinct("product_id").alias("distinct_products"),
+    """Rows, dates and two distinct counts from one shuffle of tagged identifiers.
+
+    Rows are counted per (identifier, value) before the shuffle; dates and the
+    number of rows ride along with the first identifier.
+    """
+    values = F.array(F.col("transaction_id").cast("string"), F.col("product_id").cast("string"))
+    tagged = sales.select("transaction_date", F.posexplode(values).alias("position", "value"))
+    first = F.col("position") == 0
+    counts = tagged.groupBy("position", "value").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min(F.when(first, F.col("transaction_date"))).alias("first"),
+        F.max(F.when(first, F.col("transaction_date"))).alias("last"),
+    )
+    return counts.agg(
+        F.coalesce(F.sum(F.when(first, F.col("rows"))), F.lit(0).cast("bigint")).alias("total_rows"),
+        F.min("first").alias("first_transaction"),
+        F.max("last").alias("last_transaction"),
+        F.count(F.when(first, F.col("value"))).alias("distinct_transactions"),
+        F.count(F.when(~first, F.col("value"))).alias("distinct_products"),
     )
 
 
@@ -212,26 +225,54 @@ def financial_anomalies_nonneg(sales: DataFrame, facts: DataFrame | None = None)
     )
 
 
+def payment_frequencies(sales: DataFrame) -> DataFrame:
+    """(amount, rows) of every payment, NULL included: all payment statistics follow from it."""
+    return frequencies(sales, "total_payment")
+
+
 def payment_percentiles(sales: DataFrame, **points: float) -> DataFrame:
     """One row of exact percentiles of ``total_payment``."""
-    return percentiles(sales, "total_payment", points)
+    return percentiles(payment_frequencies(sales), points)
+
+
+def _payment_moments(payments: DataFrame) -> DataFrame:
+    """One row of counts, exact sum, bounds and standard deviation of :func:`payment_frequencies`.
+
+    The deviation sums squared distances from the mean, which is known first:
+    no difference of two large sums.
+    """
+    amount, rows = F.col("amount"), F.col("rows")
+    paid = F.coalesce(F.sum(F.when(amount.isNotNull(), rows)), F.lit(0).cast("bigint"))
+    money = F.sum((amount * rows.cast("decimal(18,0)")).cast("decimal(38,2)"))
+    level = payments.agg(mean(money, paid).alias("mean"))
+    distance = amount.cast("double") - F.col("level.mean")
+    return attach(payments, level=level).agg(
+        F.coalesce(F.sum("rows"), F.lit(0).cast("bigint")).alias("total_rows"),
+        paid.alias("rows_with_payment"),
+        money.alias("revenue"),
+        F.min("amount").alias("minimum_payment"),
+        F.max("amount").alias("maximum_payment"),
+        F.sum(distance * distance * rows).alias("squares"),
+    )
 
 
-def payment_statistics(sales: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    ranks = payment_percentiles(sales, **STATISTICS_POINTS)
-    return attach(facts or table_facts(sales), rank=ranks).select(
+def payment_statistics(sales: DataFrame, payments: DataFrame | None = None) -> DataFrame:
+    """Everything from one frequency table; ``payments`` is a kept :func:`payment_frequencies`."""
+    payments = payments or payment_frequencies(sales)
+    deviation = F.sqrt(F.col("squares") / F.nullif("rows_with_payment", F.lit(0)))
+    return attach(_payment_moments(payments), rank=percentiles(payments, STATISTICS_POINTS)).select(
         F.col("rows_with_payment").alias("non_null_payments"),
         _money("minimum_payment"),
         "rank.*",
         average_payment().alias("mean_payment"),
-        F.col("payment_stddev").alias("payment_standard_deviation"),
+        deviation.alias("payment_standard_deviation"),
         _money("maximum_payment"),
     )
 
 
-def payment_analysis(sales: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    ranks = payment_percentiles(sales, **ANALYSIS_POINTS)
-    return attach(facts or table_facts(sales), rank=ranks).select(
+def payment_analysis(sales: DataFrame, payments: DataFrame | None = None) -> DataFrame:
+    payments = payments or payment_frequencies(sales)
+    return attach(_payment_moments(payments), rank=percentiles(payments, ANALYSIS_POINTS)).select(
         F.col("total_rows").alias("transaction_count"),
         total_revenue().alias("total_revenue"),
         average_payment().alias("average_payment"),

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from salesaudit.functions.exprs import as_double, ascending, attach, named
 from salesaudit.operators.inventory import type_name
+from salesaudit.plans.ordered import cut_off, frequencies, leading
 
 # Columns of the two lists of large payments.
 HIGH_VALUE = (
@@ -35,20 +36,28 @@ LARGEST = (
 )
 
 
-def _largest(sales: DataFrame, columns: tuple[str, ...], top: int) -> DataFrame:
-    """Equal payments are ordered by the other listed columns."""
+def _largest(sales: DataFrame, columns: tuple[str, ...], top: int, payments: DataFrame | None) -> DataFrame:
+    """Equal payments are ordered by the other listed columns.
+
+    The ``top``-th largest payment is found first, from how often each occurs;
+    the other columns are read for rows from there on. Those are merged level
+    by level, since many may equal the last payment.
+    """
     rest = [name for name in columns if name != "total_payment"]
-    rows = sales.where(F.col("total_payment").isNotNull()).select(*columns)
-    rows = rows.orderBy(F.desc("total_payment"), *ascending(*rest)).limit(top)
+    cut = cut_off(payments or frequencies(sales, "total_payment"), top)
+    rows = attach(sales.where(F.col("total_payment").isNotNull()).select(*columns), cut=cut)
+    rows = rows.where(F.col("total_payment") >= F.col("cut.amount")).drop("cut")
+    rows = leading(rows, [F.desc("total_payment"), *ascending(*rest)], top)
     return rows.withColumn("total_payment", as_double(F.col("total_payment")))
 
 
-def high_value_transactions(sales: DataFrame, top: int = 500) -> DataFrame:
-    return _largest(sales, HIGH_VALUE, top)
+def high_value_transactions(sales: DataFrame, top: int = 500, payments: DataFrame | None = None) -> DataFrame:
+    """``payments`` is a kept :func:`payment_frequencies`."""
+    return _largest(sales, HIGH_VALUE, top, payments)
 
 
-def largest_transactions(sales: DataFrame, top: int = 100) -> DataFrame:
-    return _largest(sales, LARGEST, top)
+def largest_transactions(sales: DataFrame, top: int = 100, payments: DataFrame | None = None) -> DataFrame:
+    return _largest(sales, LARGEST, top, payments)
 
 
 def raw_sample(sales: DataFrame, rows: int = 1_000) -> DataFrame:
@@ -56,18 +65,11 @@ def raw_sample(sales: DataFrame, rows: int = 1_000) -> DataFrame:
     by every other column, so that it is the same each time. Money is a double,
     as in every result.
 
-    The id alone finds the rows that can be among them; only those are put in
-    full order.
+    One pass; each task keeps its first rows, and they are merged level by level.
     """
-    if "sales_item_id" in sales.columns:
-        item = F.col("sales_item_id")
-        least = sales.select(item).orderBy(item.asc_nulls_last()).limit(rows)
-        edge = least.agg(F.max(item).alias("last"), F.count_if(item.isNull()).alias("nulls"))
-        within = (item <= F.col("edge.last")) | ((F.col("edge.nulls") > 0) & item.isNull())
-        sales = attach(sales, edge=edge).where(within).drop("edge")
     first = [name for name in ("sales_item_id",) if name in sales.columns]
     rest = [name for name in sales.columns if name not in first]
-    sample = sales.orderBy(*(named(name).asc_nulls_last() for name in first + rest)).limit(rows)
+    sample = leading(sales, [named(name).asc_nulls_last() for name in first + rest], rows)
     money = [f.name for f in sales.schema.fields if isinstance(f.dataType, T.DecimalType)]
     return sample.withColumns({name: as_double(named(name)) for name in money})
 

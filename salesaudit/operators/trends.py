@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesaudit.functions.exprs import as_double, mean
 from salesaudit.operators.breakdown import breakdown
 
+
 def month_of(moment: Column) -> Column:
     return F.date_trunc("month", moment).cast("date")
 
@@ -25,12 +27,34 @@ def _transactions() -> dict[str, Column]:
     return {"unique_transactions": F.countDistinct("transaction_id")}
 
 
-def monthly_trend(sales: DataFrame) -> DataFrame:
-    return _trend(_dated(sales), month_of(F.col("transaction_date")), "month", extras=_transactions())
+# Periods of the trends with distinct transactions, as dimensions of a distinct profile: expression and type.
+PERIODS = {
+    "month": (lambda: month_of(F.col("transaction_date")), "date"),
+    "year": (lambda: F.year("transaction_date"), "int"),
+}
+
+
+def _period(sales: DataFrame, name: str, profile: DataFrame | None) -> DataFrame:
+    """The trend by month or year, from the table or from a kept distinct profile over :data:`PERIODS`."""
+    key, kind = PERIODS[name]
+    if profile is None:
+        return _trend(_dated(sales), key(), name, extras=_transactions())
+    periods = profile.where((F.col("dimension") == name) & F.col("value").isNotNull())
+    return periods.select(
+        F.col("value").cast(kind).alias(name),
+        F.col("rows").alias("records"),
+        as_double(F.col("paid")).alias("revenue"),
+        mean(F.col("paid"), F.col("payments")).alias("average_payment"),
+        F.col("different").alias("unique_transactions"),
+    ).orderBy(name)
+
+
+def monthly_trend(sales: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    return _period(sales, "month", profile)
 
 
-def yearly_trend(sales: DataFrame) -> DataFrame:
-    return _trend(_dated(sales), F.year("transaction_date"), "year", extras=_transactions())
+def yearly_trend(sales: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    return _period(sales, "year", profile)
 
 
 def monthly_basic(sales: DataFrame) -> DataFrame:

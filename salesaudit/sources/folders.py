@@ -31,9 +31,3 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """Path of a not yet existing sub-folder of the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def frozen(df):
-    """``df`` computed once and kept in the shared folder, its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
