@@ -16,38 +16,76 @@ from salesaudit.llm.grams import blocks
 from salesaudit.llm.shared import ROW, numbered, saved, whole_text
 
 END_OF_DOCUMENT = 0
-HELD_WORDS = 400_000  # words whose ids a worker remembers
+HELD_WORDS = 300_000  # words of a generation; a worker remembers the ids of two generations
+LEARNED_WORDS = 64  # that go to the tokenizer as one text
 BLOCK_LETTERS, BLOCK_TEXTS = 1 << 20, 1000
-SEPARATOR = "<|endoftext|>"  # a special token of the vocabulary, cuts a list of words into its words
+WORD_END = "</w>"
 NEVER = np.iinfo(np.int64).max
 
+# Visible ASCII and composed Latin letters, which normalising leaves as they are, and the vocabulary's
+# own pattern of the pieces of a word.
+PLAIN = r"[!-~À-ÖØ-öø-ɏ]+"
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
 
 class WordIds:
     """The ids of whole texts, with those of words that came before remembered.
 
     The tokenizer drops white space and works on each run between it alone, so
     the ids of a text are those of its runs between plain blanks and line ends,
-    in order.
+    in order. It cuts a run into pieces, letters, digits or marks, and works on
+    each of them alone. New pieces of plain runs go to a copy of it that neither
+    normalises nor cuts; the last token of each has the mark of a word's end.
+    Other runs go to the tokenizer itself.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.separator = self.tokenizer.token_to_id(SEPARATOR)
-        self.held: dict[str, bytes] = {}
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), as_bytes])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.plain, self.pieces = regex.compile(PLAIN).fullmatch, regex.compile(PIECES).findall
+        self.held: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        ids = np.frombuffer(self._ids(SEPARATOR.join(words)), dtype="<u4")
-        ends = [*np.flatnonzero(ids == self.separator).tolist(), len(ids)]
+    def _learn(self, pieces: list[str]) -> None:
+        groups = [" ".join(pieces[at : at + LEARNED_WORDS]) for at in range(0, len(pieces), LEARNED_WORDS)]
+        found = self.bare.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.array([number for group in found for number in group.ids], dtype="<u4")
         data, start = ids.tobytes(), 0
-        for word, end in zip(words, ends, strict=True):
-            self.held[word] = data[4 * start : 4 * end]
-            start = end + 1
+        for piece, last in zip(pieces, np.flatnonzero(self.ends[ids]).tolist(), strict=True):
+            self.held[piece] = data[start : 4 * last + 4]
+            start = 4 * last + 4
+
+    def _learn_words(self, new: set[str]) -> None:
+        held, older = self.held, self.older
+        for word in new & older.keys():
+            held[word] = older[word]
+        whole, parts, other = set(), {}, []
+        for word in new.difference(held):
+            if not (word.isascii() and word.isprintable()) and not self.plain(word):
+                other.append(word)
+            elif word.isalpha():
+                whole.add(word)
+            elif word[:-1].isalpha() and not word[-1].isalnum():
+                parts[word] = (word[:-1], word[-1])
+            else:
+                parts[word] = self.pieces(word)
+        self._learn([*whole.union(*parts.values()).difference(held)])
+        for word, own in parts.items():
+            held[word] = b"".join(map(held.__getitem__, own))
+        for word in other:
+            held[word] = self._ids(word)
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
@@ -55,21 +93,10 @@ class WordIds:
         plain = [not ("<|" in text or "İ" in text or "Σ" in text) for text in texts]
         runs = [text.lower().replace("\n", " ").split(" ") if easy else [] for text, easy in zip(texts, plain, strict=True)]
         if len(self.held) > HELD_WORDS:
-            self.held.clear()
+            self.older, self.held = self.held, {"": b""}
+        if new := set().union(*runs).difference(self.held):
+            self._learn_words(new)
         held = self.held
-        held[""] = b""
-        new = set().union(*runs).difference(held)
-        if new:
-            stems = {word[:-1] for word in new if word[-1] in ".,"} - held.keys()
-            self._learn([*(stems | {".", ","} | {word for word in new if word[-1] not in ".,"})])
-            for word in new:
-                if word not in held:
-                    stem = word[:-1]
-                    # Marks that follow each other are one token together.
-                    if stem[-1:].isalpha():
-                        held[word] = held[stem] + held[word[-1]]
-                    else:
-                        held[word] = self._ids(word)
         for text, words, easy in zip(texts, runs, plain, strict=True):
             yield b"".join(map(held.__getitem__, words)) if easy else self._ids(text)
 
