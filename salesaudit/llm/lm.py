@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,11 @@ from salesaudit.llm.grams import blocks, word_hashes
 from salesaudit.llm.shared import ROW, numbered, saved, whole_text
 
 DEPTH = 5  # bytes of the longest context
+SHARED = 2  # bytes before, by which codes are dealt to tasks: a task has the whole tree below such a pair
 GRAM, WORD, ASKED = 0, 1, 2  # byte grams and words learned from, byte grams of the other texts
+CHUNK = 1 << 19  # codes that a task works on at once, but for one pair's
+LN2 = 0.6931471805599453
+LN_PI = 1.1447298858494002
 END_WORD = 1  # stands for the end of a text among word hashes
 BLOCK_BYTES, BLOCK_TEXTS = 1 << 21, 2000
 HELD = 1 << 20  # different keys that a task holds before it passes their counts on
@@ -55,14 +61,16 @@ def _text_words(text: str) -> np.ndarray:
 
 
 def _counted(batches: Batches) -> Batches:
-    """(kind, key, n): byte grams and words of the texts (text, learn), summed as far as memory allows."""
+    """(word, key, learned, asked): words and byte grams of the texts (text, learn), summed as far as memory allows."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {GRAM: [], WORD: [], ASKED: []}
     sizes = {GRAM: 0, WORD: 0, ASKED: 0}
 
     def passed(kind: int) -> pd.DataFrame:
         keys, counts = held[kind][0]
         held[kind], sizes[kind] = [], 0
-        return pd.DataFrame({"kind": np.full(len(keys), kind, dtype=np.int32), "key": keys, "n": counts})
+        none = np.zeros(len(keys), dtype=np.int64)
+        learned, asked = (none, counts) if kind == ASKED else (counts, none)
+        return pd.DataFrame({"word": np.full(len(keys), kind == WORD), "key": keys, "learned": learned, "asked": asked})
 
     def merge(kind: int) -> None:
         held[kind] = [_summed(*(np.concatenate(x) for x in zip(*held[kind], strict=True)))]
@@ -92,107 +100,170 @@ def _counted(batches: Batches) -> Batches:
             yield passed(kind)
 
 
-def _log_gamma(x: Column) -> Column:
+def _log_gamma(x: np.ndarray) -> np.ndarray:
     """ln gamma by Stirling's series after eight steps up."""
-    y = x + 8
-    steps = F.lit(1.0)
+    y, steps = x + 8, np.ones_like(x)
     for i in range(8):
-        steps = steps * (x + i)
-    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
-    return (y - 0.5) * F.ln(y) - y + 0.9189385332046727 + series - F.ln(steps)
+        steps *= x + i
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + series - np.log(steps)
 
 
-def _kt(zeros: Column, ones: Column) -> Column:
+def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    return _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - 1.1447298858494002
+    return np.where(zeros + ones > 0, _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - LN_PI, 0.0)
 
 
-def _shorter(depth: int) -> Column:
-    """The last ``depth`` bytes of a context."""
-    return (F.col("context") % (1 << 8 * depth) if depth else F.lit(0)).cast("long").alias("context")
+def _mixed(zeros: np.ndarray, ones: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ln of the weighted probability, weight of ending here) of nodes: P = (KT + product of P over one byte longer) / 2."""
+    own = _kt(zeros, ones)
+    weighted = np.logaddexp(own, longer) - LN2
+    return weighted, np.exp(own - LN2 - weighted)
 
 
-def context_tree(grams: DataFrame) -> list[DataFrame]:
-    """(context, node, zeros, ones, stop) for contexts of 0 to DEPTH bytes, from byte grams (key, n).
+class CodeTrees:
+    """The context trees below each pair of bytes, for all codes that follow those pairs.
 
-    A byte is eight binary choices; node is a place in that decision tree, and
-    each has a context tree of its own over the bytes before. stop is the
-    posterior weight of ending the context here: half the KT probability over
-    the weighted one, P = (KT + product of P over one byte longer) / 2.
+    A byte is eight binary choices; the choices made before one are its node,
+    and each node has a context tree of its own over the bytes before. Codes
+    that were only asked for have nodes too, with no counts: their estimate is
+    one half, as that of every context that was never seen.
     """
-    choices = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("choice")
-    bits = grams.select((F.shiftright("key", 8)).alias("context"), (F.col("key") % 256).cast("int").alias("byte"), "n", choices)
-    node = F.expr("shiftleft(1, choice) + shiftright(byte, 8 - choice)")
-    one = F.expr("shiftright(byte, 7 - choice) & 1") == 1
-    level = bits.groupBy("context", node.alias("node")).agg(
-        F.sum(F.when(one, 0).otherwise(F.col("n"))).alias("zeros"), F.sum(F.when(one, F.col("n")).otherwise(0)).alias("ones")
-    )
-    levels, weighted = [], _kt(F.col("zeros"), F.col("ones"))
-    level = level.withColumn("weighted", weighted).withColumn("stop", F.lit(1.0))
-    for depth in range(DEPTH, -1, -1):
-        level = saved(level, f"contexts-{depth}")
-        levels.append(level.select("context", "node", "zeros", "ones", "stop"))
-        if depth:
-            level = level.select(_shorter(depth - 1), "node", "zeros", "ones", "weighted").groupBy("context", "node").agg(
-                F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("longer")
-            )
-            own_kt = _kt(F.col("zeros"), F.col("ones"))
-            level = level.withColumn("kt", own_kt)
-            high = F.greatest("kt", "longer")
-            both = F.exp(F.col("kt") - high) + F.exp(F.col("longer") - high)
-            level = level.withColumn("weighted", high + F.ln(both / 2)).withColumn("stop", F.exp(F.col("kt") - high) / both).drop("kt", "longer")
-    return levels[::-1]
-
-
-def _chances(levels: list[DataFrame]) -> list[DataFrame]:
-    """(context, node, chance) by depth: the mixed chance of a one, where the context is the longest that has the node.
-
-    Contexts on the way there add what they stop with (so_far) and leave the
-    rest (left) to the longer ones.
+
+    def __init__(self, keys: np.ndarray, learned: np.ndarray):
+        self.keys, self.learned = keys, learned.astype(float)
+        self.orders = {}
+        for depth in range(SHARED, DEPTH + 1):
+            own = keys & ((1 << 8 * (depth + 1)) - 1)
+            order = np.argsort(own, kind="stable")
+            self.orders[depth] = order, own[order]
+
+    def _numbers(self, depth: int, choice: int) -> np.ndarray:
+        """The number of each code's node of that choice in its context of that depth."""
+        order, own = self.orders[depth]
+        own = own >> (8 - choice)
+        new = np.ones(len(own), dtype=np.int64)
+        new[1:] = own[1:] != own[:-1]
+        numbers = np.empty(len(own), dtype=np.int64)
+        numbers[order] = np.cumsum(new) - 1
+        return numbers
+
+    def place(self, choice: int) -> np.ndarray:
+        """The byte before and the node of each code, as one number below 65536."""
+        return (self.keys >> 8 & 0xFF) << 8 | 1 << choice | (self.keys & 0xFF) >> (8 - choice)
+
+    def bits(self, choice: int) -> np.ndarray:
+        return self.keys >> (7 - choice) & 1
+
+    def levels(self, choice: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(depth, numbers by code; zeros, ones, ln of the weighted probability, weight of ending, by node), longest first."""
+        ones_of = self.learned * self.bits(choice)
+        numbers = longer = None
+        for depth in range(DEPTH, SHARED - 1, -1):
+            above = self._numbers(depth, choice)
+            total = np.bincount(above, weights=self.learned)
+            ones = np.bincount(above, weights=ones_of)
+            if depth == DEPTH:
+                weighted, stop = _kt(total - ones, ones), np.ones(len(total))
+            else:
+                parent = np.empty(len(longer), dtype=np.int64)
+                parent[numbers] = above
+                weighted, stop = _mixed(total - ones, ones, np.bincount(parent, weights=longer, minlength=len(total)))
+            yield depth, above, total - ones, ones, weighted, stop
+            numbers, longer = above, weighted
+
+    def top(self) -> np.ndarray:
+        """Rows zeros, ones and sums of ln weighted probabilities, for each place: what the shorter contexts need."""
+        found = np.zeros((3, 1 << 16))
+        for choice in range(8):
+            for depth, numbers, zeros, ones, weighted, _ in self.levels(choice):
+                if depth == SHARED:
+                    place = np.empty(len(zeros), dtype=np.int64)
+                    place[numbers] = self.place(choice)
+                    for row, values in enumerate((zeros, ones, weighted)):
+                        found[row] += np.bincount(place, weights=values, minlength=1 << 16)
+        return found
+
+    def logs(self, so_far: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each code; so_far and left are what the shorter contexts gave, by place."""
+        total = np.zeros(len(self.keys))
+        for choice in range(8):
+            place = self.place(choice)
+            chance, rest = so_far[place], left[place]
+            for _, numbers, zeros, ones, _, stop in reversed(list(self.levels(choice))):
+                one = (ones + 0.5) / (zeros + ones + 1)
+                chance = chance + rest * (stop * one)[numbers]
+                rest = rest * (1 - stop)[numbers]
+            total += np.log10(np.where(self.bits(choice) == 1, chance, 1 - chance))
+        return total
+
+
+def _pairs_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of some CHUNK rows that hold all rows of each of their pairs; the rows come sorted by pair."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= CHUNK:
+            table = pa.Table.from_batches(held)
+            pair = table["pair"].to_numpy()
+            cut = int(np.searchsorted(pair, pair[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            held, rows = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _trees(table: pa.Table) -> CodeTrees:
+    return CodeTrees(table["key"].to_numpy(), table["learned"].to_numpy())
+
+
+def _by_pair(codes: DataFrame) -> DataFrame:
+    pair = (F.shiftright("key", 8) % (1 << 8 * SHARED)).cast("int")
+    return codes.withColumn("pair", pair).repartition("pair").sortWithinPartitions("pair")
+
+
+def short_contexts(codes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(so_far, left) by place: what contexts of no and of one byte add to the chance of a one, and leave to longer ones.
+
+    Each task works out the trees below its pairs; their sums for the 65,536
+    places are what reaches the driver.
     """
-    found: list[DataFrame] = []
-    for depth, level in enumerate(levels):
-        own = level.select("context", "node", "stop", ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)).alias("one"))
-        if depth:
-            before = found[-1].select(F.col("context").alias("before"), "node", "so_far", "left")
-            # Contexts of up to one byte have 65,535 nodes at most.
-            before = F.broadcast(before) if depth <= 2 else before
-            own = own.withColumn("before", _shorter(depth - 1)).join(before, ["before", "node"])
-        else:
-            own = own.withColumns({"so_far": F.lit(0.0), "left": F.lit(1.0)})
-        own = own.select(
-            "context",
-            "node",
-            (F.col("so_far") + F.col("left") * F.col("one")).alias("chance"),
-            (F.col("so_far") + F.col("left") * F.col("stop") * F.col("one")).alias("so_far"),
-            (F.col("left") * (1 - F.col("stop"))).alias("left"),
-        )
-        found.append(saved(own, f"chances-{depth}"))
-    return [frame.select("context", "node", "chance") for frame in found]
-
-
-def code_logs(levels: list[DataFrame], codes: DataFrame) -> DataFrame:
-    """(key, log): log10 of the probability of each code (key, learned) by the whole tree."""
-    chances = _chances(levels)
-    choices = codes.select("key", "learned", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("choice"))
-    choices = choices.select(
-        "key",
-        "learned",
-        F.shiftright("key", 8).alias("context"),
-        F.expr("shiftleft(1, choice) + shiftright(CAST(key % 256 AS INT), 8 - choice)").alias("node"),
-        (F.expr("shiftright(CAST(key % 256 AS INT), 7 - choice) & 1") == 1).alias("bit"),
-    )
-    # Codes that were learned have all their nodes at the full depth; the others go on to shorter contexts.
-    learned = choices.filter("learned").join(chances[DEPTH], ["context", "node"]).select("key", "bit", "chance")
-    other = choices.filter("NOT learned").withColumn("chance", F.lit(None).cast("double"))
-    for depth in range(DEPTH, -1, -1):
-        own = chances[depth].select(F.col("context").alias("at"), "node", F.col("chance").alias("found"))
-        own = F.broadcast(own) if depth <= 1 else own
-        other = other.withColumn("at", _shorter(depth)).join(own, ["at", "node"], "left")
-        other = other.select("key", "context", "node", "bit", F.coalesce("chance", "found").alias("chance"))
-    other = other.select("key", "bit", F.coalesce("chance", F.lit(0.5)).alias("chance"))
-    log = F.log10(F.when(F.col("bit"), F.col("chance")).otherwise(1 - F.col("chance")))
-    return learned.unionByName(other).groupBy("key").agg(F.sum(log).alias("log"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((3, 1 << 16))
+        for table in _pairs_together(batches):
+            found += _trees(table).top()
+        place = np.flatnonzero(found[:2].any(axis=0))
+        columns = [pa.array(place.astype(np.int32)), *(pa.array(row[place]) for row in found)]
+        yield pa.RecordBatch.from_arrays(columns, ["place", "zeros", "ones", "longer"])
+
+    rows = _by_pair(codes.filter("learned > 0")).mapInArrow(task, "place int, zeros double, ones double, longer double")
+    sums = rows.groupBy("place").agg(*(F.sum(name).alias(name) for name in ("zeros", "ones", "longer"))).toArrow()
+    zeros, ones, longer = (np.zeros(1 << 16) for _ in range(3))
+    for name, values in (("zeros", zeros), ("ones", ones), ("longer", longer)):
+        values[sums["place"].to_numpy()] = sums[name].to_numpy()
+    weighted, stop = _mixed(zeros, ones, longer)
+    all_zeros, all_ones, all_longer = (x.reshape(256, 256).sum(axis=0) for x in (zeros, ones, weighted))
+    first_stop = _mixed(all_zeros, all_ones, all_longer)[1]
+    so_far, left = first_stop * (all_ones + 0.5) / (all_zeros + all_ones + 1), 1 - first_stop
+    so_far, left = np.tile(so_far, 256), np.tile(left, 256)
+    return so_far + left * stop * (ones + 0.5) / (zeros + ones + 1), left * (1 - stop)
+
+
+def code_logs(codes: DataFrame) -> DataFrame:
+    """(key, n, log) of codes (key, learned, asked): how often they occur and log10 of their probability by the whole tree."""
+    so_far, left = short_contexts(codes)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _pairs_together(batches):
+            n = pc.add(table["learned"], table["asked"]).combine_chunks()
+            columns = [table["key"].combine_chunks(), n, pa.array(_trees(table).logs(so_far, left))]
+            yield from pa.Table.from_arrays(columns, ["key", "n", "log"]).to_batches()
+
+    return _by_pair(codes).mapInArrow(task, "key long, n long, log double")
 
 
 def _most_counted(counts: DataFrame, count: Column, most: int) -> DataFrame:
@@ -278,21 +349,24 @@ def language_model_scores(
     in lower case) and an end per text. Both learn from the rows where ``learn``
     holds, from every byte and word. NULL texts are empty: one token, the end.
 
-    Counts are combined in the tasks and then by Spark; the tree's weights and
-    the log10 of each different code (a context of 5 bytes and the byte after
-    it) are worked out on the whole tree. A task that scores holds the
-    ``most_nodes`` commonest codes, each the last node of its path, and the
-    ``head_words`` commonest words; rarer codes and words meet their logs and
-    counts in a shuffle. So neither number changes a score.
+    Each byte is eight binary choices with a context tree of their own. A node
+    of a tree gives half its weight to its own KT estimate and half to the
+    product of the nodes one byte longer; a context that was never seen says one
+    half. score is the code length of that mixture for the given text.
+
+    Counts are combined in the tasks and then by Spark. The different codes (a
+    context of 5 bytes and the byte after it) are dealt to tasks by the two
+    bytes before, so that a task has the whole trees below a pair; the two
+    shortest contexts are 65,536 sums. A task that scores holds the
+    ``most_nodes`` commonest codes and the ``head_words`` commonest words; rarer
+    codes and words meet their logs and counts in a shuffle. So neither number
+    changes a score.
     """
     texts = docs.select(whole_text(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    counts = texts.mapInPandas(_counted, "kind int, key long, n long")
-    counts = saved(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words = counts.filter(F.col("kind") == WORD).select("key", "n")
-    levels = context_tree(counts.filter(F.col("kind") == GRAM).select("key", "n"))
-    codes = counts.filter(F.col("kind") != WORD).groupBy("key").agg(F.sum("n").alias("n"), F.bool_or(F.col("kind") == GRAM).alias("learned"))
-    codes = saved(codes, "codes")
-    code_log = saved(code_logs(levels, codes).join(codes.select("key", "n"), "key"), "code-logs")
+    counts = texts.mapInPandas(_counted, "word boolean, key long, learned long, asked long").groupBy("word", "key")
+    counts = saved(counts.agg(F.sum("learned").alias("learned"), F.sum("asked").alias("asked")), "counts")
+    words = counts.filter("word").select("key", F.col("learned").alias("n"))
+    code_log = saved(code_logs(counts.filter("NOT word").drop("word")), "code-logs")
     head = saved(_most_counted(words, F.col("n"), head_words), "head-words")
     total, different = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
 

@@ -130,23 +130,44 @@ def _weighted(counts: dict) -> dict:
     return done
 
 
+def _ends(counts: dict, weights: dict, text: bytes, i: int, node: int, depth: int) -> float:
+    """The chance of a one, by the definition: half to the own estimate, half to the longer context, seen or not."""
+    key = (text[i - depth : i], node)
+    zeros, ones = counts.get(key, (0, 0))
+    one = (ones + 0.5) / (zeros + ones + 1)
+    if depth == DEPTH:
+        return one
+    stop = weights[key][1] if key in weights else 0.5
+    return stop * one + (1 - stop) * _ends(counts, weights, text, i, node, depth + 1)
+
+
 def _score(counts: dict, weights: dict, text: bytes) -> float:
     data, total = bytes(DEPTH) + text + b"\0", 0.0
     for i in range(DEPTH, len(data)):
         node = 1
         for k in range(7, -1, -1):
-            bit, chance = data[i] >> k & 1, None
-            for depth in range(DEPTH, -1, -1):
-                key = (data[i - depth : i], node)
-                if key in counts:
-                    one = (counts[key][1] + 0.5) / (sum(counts[key]) + 1)
-                    chance = one if chance is None else weights[key][1] * one + (1 - weights[key][1]) * chance
-            chance = 0.5 if chance is None else chance
+            bit = data[i] >> k & 1
+            chance = _ends(counts, weights, data, i, node, 0)
             total += math.log10(chance if bit else 1 - chance)
             node = 2 * node + bit
     return total
 
 
+def test_chances_are_a_ratio_of_whole_code_lengths():
+    """The tree's probability of a text and one more bit over that of the text: what a predicted chance must be."""
+    train = [b"abcabdabc", b"xabc"]
+    counts = _tree(train)
+    weights = _weighted(counts)
+    for context, node in ((b"zzabc", 1), (b"xxxxx", 1), (b"abdab", 1), (b"\x00\x00abz", 3)):
+        more = {key: list(value) for key, value in counts.items()}
+        for depth in range(DEPTH + 1):
+            more.setdefault((context[DEPTH - depth :], node), [0, 0])[1] += 1
+        root = (b"", node)
+        before = weights[root][0] if root in weights else 0.0
+        ratio = math.exp(_weighted(more)[root][0] - before)
+        assert _ends(counts, weights, context, DEPTH, node, 0) == pytest.approx(ratio, rel=1e-9)
+
+
 @pytest.mark.parametrize("head_words", [1 << 17, 4])
 def test_scores_match_plain_models(spark, head_words):
     rng = random.Random(8)
@@ -177,7 +198,7 @@ def test_scores_match_plain_models(spark, head_words):
 def test_scores_do_not_depend_on_what_tasks_hold(spark, most_nodes):
     rng = random.Random(21)
     rows = [(i, _text(rng, rng.choice(list(SYLLABLES)), rng.randrange(15))) for i in range(50)]
-    rows += [(100, None), (102, "日本 zzz"), (103, "the " * 60), (103, "the " * 60), (104, "ünseen QQQ the")]
+    rows += [(100, None), (102, "日本 zzz"), (103, "the " * 60), (103, "the " * 60), (104, "ünseen QQQ the"), (105, "qj " * 1000)]
     frame = documents(spark, rows).repartition(3)
     learn = [doc % 3 == 0 for doc, _ in rows]
     found = language_model_scores(frame, F.col("doc_id") % 3 == 0, most_nodes=most_nodes).collect()
