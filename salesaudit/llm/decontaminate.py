@@ -17,6 +17,8 @@ from salesaudit.llm.shared import KEYS, ROW, numbered, saved, text_keys, whole_t
 Q = 8  # bytes of a q-gram, one 64-bit number
 WINDOW = 60  # bytes of a passage that is looked for
 BYTES_PER_EDIT = 15
+# Passages start so close together that any run of WINDOW bytes is off the nearest one by no more bytes than its edits.
+STRIDE = 2 * (WINDOW // BYTES_PER_EDIT)
 SHORTEST = 24
 BLOCK_WINDOWS = 1 << 16
 BLOCK_BYTES, BLOCK_TEXTS = 1 << 20, 2000
@@ -167,7 +169,7 @@ def _cutter(batches: Batches) -> Batches:
             data = plain(text)
             if len(data) < SHORTEST:
                 continue
-            starts = [*range(0, max(1, len(data) - WINDOW), WINDOW // 2), max(0, len(data) - WINDOW)]
+            starts = [*range(0, max(1, len(data) - WINDOW), STRIDE), max(0, len(data) - WINDOW)]
             rows.extend((row, at, data[at : at + WINDOW]) for at in dict.fromkeys(starts))
         yield pd.DataFrame(rows, columns=["item_row", "at", "passage"])
 
@@ -205,9 +207,10 @@ def leaks(
 
     Texts are compared in lower case by letters and digits, with one blank for
     whatever is between. A passage is a run of 60 bytes of an item, runs start
-    every 30 bytes and at its end; a shorter item is one passage. It is found
-    where it can be aligned with at most one edit per 15 bytes. Items of under
-    24 bytes are not looked for. passages is how many were found, edits the
+    every 8 bytes and at its end; a shorter item is one passage. It is found
+    where it can be aligned with at most one edit per 15 bytes, so that every
+    exact copy of 60 bytes of an item is found, wherever it starts. Items of
+    under 24 bytes are not looked for. passages is how many were found, edits the
     fewest in one, start and end the part of the plain text they cover. Repeated
     rows with one id and text count as one.
 

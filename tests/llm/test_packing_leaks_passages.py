@@ -161,6 +161,21 @@ def test_leaks_of_documents(spark):
 # --- shared passages ------------------------------------------------------
 
 
+def test_every_exact_run_of_a_window_is_found(spark):
+    """60 bytes of an item from any place in it, against plain search; other prose of the same words holds none."""
+    rng = random.Random(31)
+    items = [(i, " ".join(_prose(rng, 40))) for i in range(3)]
+    runs = [(item, at) for item, text in items for at in range(0, len(text) - 62, 3)]
+    rows = []
+    for number, (item, at) in enumerate(runs):
+        inside = items[item][1][at : at + 60]
+        rows.append((number, f"{' '.join(_prose(rng, 25))}#{inside}#{' '.join(_prose(rng, 25))}"))
+    clean = [(10_000 + i, " ".join(_prose(rng, 80))) for i in range(60)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in leaks(documents(spark, rows + clean), benchmark).collect()}
+    assert found == {(number, item) for number, (item, at) in enumerate(runs)}
+
+
 def test_the_best_chain_by_trying_all():
     rng = random.Random(11)
     for _ in range(60):
