@@ -157,6 +157,10 @@ class Windows:
         for i, low, high in self.regions(data):
             start = max(0, low)
             stop = min(len(data), high + int(self.lengths[i]))
+            same = data.find(self.passages[i], start, stop)
+            if same >= 0:  # no edits, and the first place of those without
+                yield i, 0, same, same + int(self.lengths[i])
+                continue
             hit = aligned(self.passages[i], data[start:stop], low - start, high - start, int(self.budgets[i]))
             if hit:
                 yield i, hit[0], start + hit[1], start + hit[2]
