@@ -16,7 +16,7 @@ from salesaudit.llm.grams import blocks
 from salesaudit.llm.shared import ROW, numbered, saved, whole_text
 
 END_OF_DOCUMENT = 0
-HELD_WORDS = 300_000  # words of a generation; a worker remembers the ids of two generations
+HELD_WORDS = 150_000  # words of a generation; a worker remembers the ids of two generations
 LEARNED_WORDS = 64  # that go to the tokenizer as one text
 BLOCK_LETTERS, BLOCK_TEXTS = 1 << 20, 1000
 WORD_END = "</w>"
