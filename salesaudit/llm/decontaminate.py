@@ -243,4 +243,5 @@ def leaks(
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose text holds no passage of the benchmark, with all their columns."""
     found = leaks(docs, benchmark, text, id_column).select(KEYS).distinct()
-    return docs.select("*", *text_keys(text)).join(found, KEYS, "left_anti").drop(*KEYS)
+    rows = docs.select(F.struct("*").alias("row"), *text_keys(text))
+    return rows.join(found, KEYS, "left_anti").select("row.*")

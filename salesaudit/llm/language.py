@@ -179,5 +179,5 @@ def identify(docs: DataFrame, learn: Column, text: str = "text", lang: str = "la
 def keep_identified(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language could be told, with all their columns."""
     predict = language_predictor(docs, learn, text, lang)
-    told = docs.withColumn("__told", predict(F.col(text).cast("string")))
-    return told.filter(F.col("__told.lang_pred") != UNDETERMINED).drop("__told")
+    told = docs.select(F.struct("*").alias("row"), predict(F.col(text).cast("string")).alias("told"))
+    return told.filter(F.col("told.lang_pred") != UNDETERMINED).select("row.*")

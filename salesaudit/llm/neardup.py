@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from salesaudit.llm.graph import components
 from salesaudit.llm.grams import mixed, shingles, word_hashes
-from salesaudit.llm.shared import KEYS, ROW, numbered, saved, text_keys, whole_text
+from salesaudit.llm.shared import KEYS, ROW, numbered, one_of_each, saved, text_keys, whole_text
 
 BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
@@ -317,12 +317,8 @@ def drop_near_copies(docs: DataFrame, text: str = "text", id_column: str = "doc_
 
     They are found again by id and text, so that it does not matter how another
     reading of ``docs`` deals out its rows; of repeated rows with one id and
-    text, one stays.
+    text, one stays. Columns may have any name.
     """
     stays = near_groups(docs, text, id_column, width, percent).filter("stays")
-    stays = stays.select(F.col("doc_id").alias("__id"), *KEYS).withColumnsRenamed({key: f"{key}_stays" for key in KEYS})
-    rows = docs.select("*", F.col(id_column).alias("__id"), *text_keys(text))
-    same = rows["__id"].eqNullSafe(stays["__id"])
-    for key in KEYS:
-        same &= rows[key] == stays[f"{key}_stays"]
-    return rows.join(stays, same, "left_semi").dropDuplicates(["__id", *KEYS]).drop("__id", *KEYS)
+    stays = stays.select(F.concat_ws("/", *KEYS, F.col("doc_id").cast("string")).alias("mark"))
+    return one_of_each(docs, F.concat_ws("/", *text_keys(text), F.col(id_column).cast("string")), stays)

@@ -52,6 +52,18 @@ def text_keys(name: str = "text") -> list[Column]:
 KEYS = ["__key1", "__key2"]
 
 
+def one_of_each(docs: DataFrame, mark: Column, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose mark is in ``kept``, one row of each mark, with all their columns.
+
+    Of rows with one mark, that with the lowest hash of its columns stays, so
+    that another run chooses alike. Columns of any name are left as they are.
+    """
+    hashed = [F.col(f"`{field.name}`") for field in docs.schema if "map<" not in field.dataType.simpleString()]
+    rows = docs.select(F.struct("*").alias("row"), mark.alias("mark"), F.xxhash64(F.lit(0), *hashed).alias("order"))
+    rows = rows.join(kept.select("mark"), "mark", "left_semi")
+    return rows.groupBy("mark").agg(F.min_by("row", "order").alias("row")).select("row.*")
+
+
 def fold(name: str, remainder: int, modulus: int) -> Column:
     """Whether crc32(id as text) leaves ``remainder``; false for a NULL id."""
     crc = F.crc32(F.col(name).cast("string").cast("binary"))
