@@ -85,6 +85,14 @@ def word_hashes(text: str) -> np.ndarray:
     return mixed(values ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
 
 
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of words from a start to its end."""
+    powers, inverses = _powers(1 << int(len(words) + 1).bit_length())
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * powers[: len(words)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the runs of ``width`` words, sorted, each once.
 

@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from salesaudit.llm.decontaminate import Windows, aligned, drop_leaks, edit_budget, leaks, plain, shared_at_least
 from salesaudit.llm.packing import pack, sum_of_squares, word_ids
-from salesaudit.llm.passages import GAP_COST, chains, repeated_passages
+from salesaudit.llm.passages import GAP_COST, chains, repeated_passages, runs
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 TOKENIZER = Tokenizer.from_file(VOCABULARY)
@@ -212,6 +212,27 @@ def test_passages_exact_and_changed(spark):
     assert repeated_passages(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("order", ["after", "before", "mixed"])
+def test_passages_that_others_quote_in_parts(spark, order):
+    """Exact passages of two documents, quoted in thirds by three others, against the planted places, in any row order."""
+    rng = random.Random(5)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, places = [], {}
+    for family in range(0, 100, 5):
+        passage, before = prose(60), (rng.randrange(5, 40), rng.randrange(5, 40))
+        rows += [(family + i, prose(n) + passage + prose(30)) for i, n in enumerate(before)]
+        rows += [(family + 2 + i, prose(20) + passage[20 * i : 20 * i + 20] + prose(20)) for i in range(3)]
+        places.update({family + i: (n, 60) for i, n in enumerate(before)})
+    rows = {"after": rows, "before": rows[::-1], "mixed": random.Random(3).sample(rows, len(rows))}[order]
+    frame = documents(spark, [(doc, " ".join(words)) for doc, words in rows]).coalesce(1)
+    assert {r["doc_id"]: (r["first_word"], r["n_words"]) for r in repeated_passages(frame).collect()} == places
+
+
+def test_runs_are_spans_that_overlap():
+    first, end = np.array([0, 6, 10, 30, 41]), np.array([11, 15, 20, 41, 60])
+    assert runs(first, end) == [(0, 3), (3, 4), (4, 5)]
+
+
 # --- pipeline -------------------------------------------------------------
 
 
