@@ -54,8 +54,7 @@ STAGES = [
 ]
 
 # Learned profiles, sketches, alignments and a tokenizer: SQL cannot express the stages.
-# tests/llm/test_packing_leaks_passages.py holds run() against a small fixture worked out by hand; there is no
-# brute-force version of all stages yet.
+# tests/llm/test_pipeline.py holds run() against a plain version of every stage.
 ORACLE_SQL = None
 
 
