@@ -116,6 +116,18 @@ def test_top_lists_do_not_sort_the_table(sales):
         assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
 
 
+def test_sample_sorts_nothing(sales):
+    for operator in (audit.raw_sample, audit.sample_profile):
+        plan = executed(operator(sales))
+        assert "TakeOrderedAndProject" in plan and "Window" not in plan
+        assert not re.search(r"Sort \[sales_item_id", plan)
+
+
+def test_summary_joins_the_star_tables_once(spark):
+    plan = executed(QUERIES["audit_summary"](spark, FOLDER))
+    assert scans(plan) >= 2 and "l_orderkey" not in plan
+
+
 def test_concentration_windows(sales):
     """The running sum sees the top rows only, or one part of a band."""
     plan = executed(audit.revenue_concentration(sales))
