@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 import salesaudit as audit
 from salesaudit.sources.folders import new_folder, shared_folder
 from salesaudit.sources.schema import COLUMNS
-from salesaudit.sources.tables import CSV, read_sales_csv
+from salesaudit.sources.tables import CSV, OPEN_FILES, read_sales_csv
 
 WHEN = datetime(2024, 5, 31, 23, 59, 59, 999000)
 
@@ -43,6 +43,22 @@ def test_csv_ingest_keeps_every_value(spark, rows):
     assert {row[0] for row in years.collect()} == {2024, 2025, None}
 
 
+def test_csv_ingest_shuffles_no_rows(spark, rows):
+    """Each job of the ingest is one stage; the session's settings stay."""
+    raw, table = new_folder(spark, "raw"), new_folder(spark, "table")
+    rows.repartition(3).write.options(**CSV, compression="gzip").csv(raw)
+    before, tracker = spark.conf.get(OPEN_FILES), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("ingest", "")
+    try:
+        loaded = audit.ingest_csv(spark, raw, table)
+        stages = [len(tracker.getJobInfo(job).stageIds) for job in tracker.getJobIdsForGroup("ingest")]
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert stages and set(stages) == {1}
+    assert spark.conf.get(OPEN_FILES) == before
+    assert sorted(map(str, loaded.collect())) == sorted(map(str, rows.collect()))
+
+
 def test_malformed_csv_is_an_error(spark, tmp_path):
     text = ",".join(COLUMNS) + "\n" + ",".join("x" for _ in COLUMNS) + "\n"
     (tmp_path / "bad.csv").write_text(text)
