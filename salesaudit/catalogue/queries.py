@@ -39,6 +39,16 @@ def _over(operator: Callable[..., DataFrame], *columns: str, **parameters) -> Qu
     return lambda spark, folder: operator(star_sales(spark, folder, columns), **parameters)
 
 
+def _over_kept(operator: Callable[..., DataFrame], *columns: str, **parameters) -> Query:
+    """Like ``_over`` for an operator that reads the table several times: the star tables are joined once."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        path = save_result(star_sales(spark, folder, columns), new_folder(spark, "joined"), "sales", format="parquet")
+        return operator(spark.read.parquet(path), **parameters)
+
+    return query
+
+
 def _ingested(spark: SparkSession, folder: str) -> DataFrame:
     """Write the sales as raw CSV, load that into a table, total it by year.
 
@@ -264,7 +274,7 @@ QUERIES: dict[str, Query] = {
     "executive_summary": _over(
         audit.executive_summary, *ITEM_IDENTIFIERS, *PAID, *DATES, as_of=AS_OF
     ),
-    "audit_summary": _over(
+    "audit_summary": _over_kept(
         audit.audit_summary, "transaction_id", "product_id", "product_type", "transaction_date", *CHANNEL
     ),
     # chart data and report tables
