@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -288,6 +289,24 @@ def test_drawing_out_ends_where_texts_part(cut):
     assert drawn(a, np.delete(a, 20), 100) == (20, 20, 20)
 
 
+def test_words_are_shuffled_once_for_both_sides(spark):
+    rng = random.Random(21)
+    shared = _prose(rng, 80)
+    frame = documents(spark, [(doc, " ".join(_prose(rng, 20) + shared)) for doc in range(4)])
+    settings = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in settings:
+        spark.conf.set(name, "-1")
+    try:
+        found = repeated_passages(frame)
+        assert {r["doc_id"] for r in found.collect()} == {0, 1, 2, 3}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    plan = plan[: plan.index("== Initial Plan ==")]
+    assert re.search(r"ReusedExchange \[[^\]\n]*words#", plan)
+
+
 def test_runs_are_spans_that_overlap():
     first, end = np.array([0, 6, 10, 30, 41]), np.array([11, 15, 20, 41, 60])
     assert runs(first, end) == [(0, 3), (3, 4), (4, 5)]
