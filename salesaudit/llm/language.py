@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from salesaudit.llm.grams import LETTERS, blocks, letters
-from salesaudit.llm.shared import saved
+from salesaudit.llm.shared import begins, saved
 
 UNDETERMINED = "und"
 LONGEST = 3  # letters of an n-gram, at word ends one place is the blank
@@ -68,6 +68,7 @@ def _learner() -> Callable[[Batches], Batches]:
             group, gram, n = held[0]
             return pd.DataFrame({"lang": labels[group], "gram": gram, "n": n})
 
+        begins("language ID")
         for batch in batches:
             texts = batch["text"].tolist()
             numbers = np.array([names.setdefault(lang, len(names)) for lang in batch["lang"]])
@@ -131,6 +132,7 @@ def _predictor(profiles: pd.DataFrame, length: int) -> Callable[[Column], Column
         return distances.argmin(axis=1), 1 - distances.min(axis=1) / (length * np.bincount(group, minlength=count).clip(1))
 
     def predicted(column: pd.Series) -> pd.DataFrame:
+        begins("language ID")
         names, scores = np.full(len(column), UNDETERMINED, dtype=object), np.zeros(len(column))
         given = column.fillna("").tolist()
         for part in blocks(np.array([len(text) for text in given]), BLOCK_LETTERS, BLOCK_TEXTS):

@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from salesaudit.llm.graph import components
 from salesaudit.llm.grams import mixed, shingles, word_hashes
-from salesaudit.llm.shared import KEYS, ROW, numbered, one_of_each, saved, text_keys, whole_text
+from salesaudit.llm.shared import KEYS, ROW, begins, numbered, one_of_each, saved, text_keys, whole_text
 
 BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
@@ -86,6 +86,7 @@ def _set(text: str, width: int) -> np.ndarray:
 
 def _sketcher(width: int) -> Callable[[Column], Column]:
     def sketched(column: pd.Series) -> pd.DataFrame:
+        begins("near-dedup")
         texts, parts = column.tolist(), []
         for start in range(0, len(texts), BLOCK_TEXTS):
             sets = [_set(text, width) for text in texts[start : start + BLOCK_TEXTS]]
@@ -107,6 +108,7 @@ def _sketcher(width: int) -> Callable[[Column], Column]:
 
 def _setter(width: int) -> Callable[[Column], Column]:
     def listed(column: pd.Series) -> pd.Series:
+        begins("near-dedup")
         return pd.Series([_set(text, width).view(np.int64) for text in column])
 
     return F.pandas_udf(listed, "array<long>")
@@ -135,6 +137,7 @@ def _class(count: int) -> float:
 @F.pandas_udf(DoubleType())
 def estimated(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
     """Jaccard similarity by registers, less what agrees by chance."""
+    begins("near-dedup")
     left, right = (np.frombuffer(b"".join(x), dtype=np.uint16).reshape(-1, BUCKETS) for x in (a, b))
     agree = (left == right).mean(axis=1) if len(a) else np.zeros(0)
     chance = np.array([collisions(_class(x), _class(y)) for x, y in zip(n_a, n_b, strict=True)])

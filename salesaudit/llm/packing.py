@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesaudit.llm.grams import blocks
-from salesaudit.llm.shared import ROW, numbered, saved, whole_text
+from salesaudit.llm.shared import ROW, begins, numbered, remembers, saved, whole_text
 
 END_OF_DOCUMENT = 0
 HELD_WORDS = 150_000  # words of a generation; a worker remembers the ids of two generations
@@ -103,7 +103,7 @@ class WordIds:
 
 @lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
-    """One per Python worker, so that later tasks of the worker find its words."""
+    """One per Python worker, so that later tasks of the worker find its words, until another operator begins there."""
     return WordIds(path)
 
 
@@ -111,6 +111,8 @@ def _piecer(path: str, size: int) -> Callable[[pd.Series], pd.Series]:
     end = np.array([END_OF_DOCUMENT], dtype="<u4").tobytes()
 
     def cut(column: pd.Series) -> pd.Series:
+        begins("packing")
+        remembers("packing", word_ids.cache_clear)
         ids = word_ids(path)
         texts = column.tolist()
         found = []

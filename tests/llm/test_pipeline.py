@@ -8,11 +8,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 from texts import documents
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from salesaudit.llm import language, neardup, packing
 
 TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 SIZE = 2048
@@ -135,3 +137,18 @@ def test_stages_keep_the_columns_of_their_input(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs, folder)
         assert kept.schema == docs.schema and sorted(kept.collect()) == sorted(docs.collect()), name
+
+
+def test_a_worker_keeps_nothing_of_the_operator_before(spark):
+    """The words that packing remembers go when near-dedup or language ID begins in the same process, and stay between its own tasks."""
+    cut = packing._piecer(public_tokenizers.path("word_bpe_49k.json"), SIZE)
+    texts = pd.Series(["one two", "three"])
+    profiles = pd.DataFrame({"lang": ["en"], "rank": [0], "gram": [1]})
+    for after in (neardup._sketcher(5), neardup._setter(5), language._predictor(profiles, 300)):
+        before = cut(texts).tolist()
+        cut(texts)
+        assert packing.word_ids.cache_info()[:2] == (1, 1)
+        after.func(texts)
+        assert packing.word_ids.cache_info().currsize == 0
+        assert cut(texts).tolist() == before
+        packing.word_ids.cache_clear()
