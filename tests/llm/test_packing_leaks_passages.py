@@ -229,6 +229,34 @@ def test_passages_that_others_quote_in_parts(spark, order):
     assert {r["doc_id"]: (r["first_word"], r["n_words"]) for r in repeated_passages(frame).collect()} == places
 
 
+def test_the_shortest_equal_passages_are_found_whoever_quotes_parts(spark):
+    """50 to 60 equal words of two documents, whose every kept seed is first and last held by others that end close to it."""
+    rng = random.Random(6)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for family in range(40):
+        passage = prose(50 + family % 11)
+        quotes = [prose(15) + passage[at : at + 17] + prose(15) for at in range(2, len(passage) - 18)]
+        rng.shuffle(quotes)
+        whole = [prose(rng.randrange(30)) + passage + prose(rng.randrange(30)) for _ in range(2)]
+        texts += quotes[::2] + whole + quotes[1::2]
+    held: dict[tuple, set[int]] = {}
+    for doc, words in enumerate(texts):
+        for at in range(len(words) - 49):
+            held.setdefault(tuple(words[at : at + 50]), set()).add(doc)
+    wanted: dict[int, set[int]] = {}
+    for stretch, docs in held.items():
+        for doc in docs if len(docs) > 1 else ():
+            at = next(i for i in range(len(texts[doc])) if tuple(texts[doc][i : i + 50]) == stretch)
+            wanted.setdefault(doc, set()).update(range(at, at + 50))
+    assert len(wanted) == 80
+    frame = documents(spark, [(doc, " ".join(words)) for doc, words in enumerate(texts)]).coalesce(1)
+    found: dict[int, set[int]] = {}
+    for r in repeated_passages(frame).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["first_word"], r["first_word"] + r["n_words"]))
+    assert all(places <= found.get(doc, set()) for doc, places in wanted.items())
+
+
 def _most_equal(a: list, b: list) -> int:
     """Length of the longest common subsequence, cell by cell."""
     row = [0] * (len(b) + 1)
