@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -16,7 +17,7 @@ from salesaudit.llm.grams import blocks
 from salesaudit.llm.shared import ROW, begins, numbered, remembers, saved, whole_text
 
 END_OF_DOCUMENT = 0
-HELD_WORDS = 150_000  # words of a generation; a worker remembers the ids of two generations
+HELD_WORDS = 300_000  # words of a generation; a worker remembers the ids of two generations
 LEARNED_WORDS = 64  # that go to the tokenizer as one text
 BLOCK_LETTERS, BLOCK_TEXTS = 1 << 20, 1000
 WORD_END = "</w>"
@@ -25,6 +26,7 @@ NEVER = np.iinfo(np.int64).max
 # Visible ASCII and composed Latin letters, which normalising leaves as they are, and the vocabulary's
 # own pattern of the pieces of a word.
 PLAIN = r"[!-~À-ÖØ-öø-ɏ]+"
+LETTERS_AND_MARK = r"(?m)^([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]?)$"
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
@@ -52,6 +54,7 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[number for token, number in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.plain, self.pieces = regex.compile(PLAIN).fullmatch, regex.compile(PIECES).findall
+        self.simple = re.compile(LETTERS_AND_MARK).findall
         self.held: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -71,17 +74,18 @@ class WordIds:
         held, older = self.held, self.older
         for word in new & older.keys():
             held[word] = older[word]
-        whole, parts, other = set(), {}, []
-        for word in new.difference(held):
-            if not (word.isascii() and word.isprintable()) and not self.plain(word):
-                other.append(word)
-            elif word.isalpha():
-                whole.add(word)
-            elif word[:-1].isalpha() and not word[-1].isalnum():
-                parts[word] = (word[:-1], word[-1])
-            else:
+        new = new.difference(held)
+        # Most words are letters and at most one mark after them: one search cuts all of these.
+        simple = self.simple("\n".join(new))
+        parts = {letters + mark: (letters, mark) for letters, mark in simple if mark}
+        whole, other = {letters for letters, _ in simple}.union({mark for _, mark in simple if mark}), []
+        for word in new.difference(whole, parts):
+            if (word.isascii() and word.isprintable()) or self.plain(word):
                 parts[word] = self.pieces(word)
-        self._learn([*whole.union(*parts.values()).difference(held)])
+                whole.update(parts[word])
+            else:
+                other.append(word)
+        self._learn([*whole.difference(held)])
         for word, own in parts.items():
             held[word] = b"".join(map(held.__getitem__, own))
         for word in other:

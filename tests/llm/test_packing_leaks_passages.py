@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from salesaudit.llm.decontaminate import Windows, aligned, drop_leaks, edit_budget, leaks, plain, shared_at_least
-from salesaudit.llm.packing import pack, sum_of_squares, word_ids
+from salesaudit.llm.packing import WordIds, pack, sum_of_squares, word_ids
 from salesaudit.llm.passages import GAP_COST, chains, drawn, repeated_passages, runs
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +43,23 @@ def test_marks_of_the_vocabulary_inside_texts():
     assert found == [TOKENIZER.encode(text, add_special_tokens=False).ids for text in texts]
 
 
+def test_words_with_one_mark_are_cut_like_the_tokenizers():
+    texts = [f"{word}{mark} x{mark}{word} {word}" for word in ("and", "été", "ǅa", "it's", "ʼn", "a1", "中文") for mark in map(chr, range(33, 127))]
+    found = [np.frombuffer(x, dtype="<u4").tolist() for x in WordIds(VOCABULARY).of(texts)]
+    assert found == [TOKENIZER.encode(text, add_special_tokens=False).ids for text in texts]
+
+
+def test_words_of_the_last_batches_are_not_learned_again():
+    ids, learned = WordIds(VOCABULARY), []
+    learn = ids._learn
+    ids._learn = lambda pieces: (learned.append(len(pieces)), learn(pieces))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    batches = [" ".join(f"{a}{b}{c}{d}" for a in letters[i : i + 5] for b in letters for c in letters for d in letters) for i in range(0, 25, 5)]
+    first = [[*ids.of([batch])] for batch in batches]
+    assert [*ids.of([batches[0]])] == first[0]
+    assert sum(learned) == 25 * 26**3
+
+
 def test_each_place_has_the_least_sum_of_squares():
     rng, size = random.Random(4), 16
     lengths = [rng.randrange(1, size + 1) for _ in range(120)]
