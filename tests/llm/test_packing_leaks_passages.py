@@ -17,7 +17,9 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from salesaudit.llm.decontaminate import Windows, aligned, drop_leaks, edit_budget, leaks, plain, shared_at_least
 from salesaudit.llm.packing import WordIds, pack, sum_of_squares, word_ids
-from salesaudit.llm.passages import GAP_COST, chains, drawn, repeated_passages, runs
+from salesaudit.llm.grams import hashes_of_all, rolled, run_hashes, word_hashes
+from salesaudit.llm.passages import GAP_COST, K, REACH, chains, drawn, repeated_passages, runs, seeds, spans, windows
+from salesaudit.llm.shared import saved
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 TOKENIZER = Tokenizer.from_file(VOCABULARY)
@@ -352,6 +354,42 @@ def test_words_are_shuffled_once_for_both_sides(spark):
     assert re.search(r"ReusedExchange \[[^\]\n]*words#", plan)
 
 
+def test_texts_hashed_together_give_what_each_gives_alone():
+    rng = random.Random(12)
+    texts = ["", " \n", "a", "é\ud800 A", *("x " * n for n in (4, 5, 14, 15, 16, 17, 40))]
+    texts += [" ".join(rng.choices(_prose(rng, rng.choice([2, 9, 300])), k=rng.randrange(120))) for _ in range(120)]
+    rng.shuffle(texts)
+    words, bounds = hashes_of_all(texts)
+    at, hashes = seeds(words, bounds)
+    span, length = spans(words, bounds, at)
+    low, high = ([np.array(x) for x in sides] for sides in zip(*[([-3, 2, 30], [4, 9, 200]) for _ in texts], strict=True))
+    starts, keys = windows(words, bounds, low, high, 20)
+    for text, begin, end in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        alone = word_hashes(text)
+        assert words[begin:end].tolist() == alone.tolist()
+        found, own = rolled(alone, K), (begin <= at) & (at < end)
+        reach = min(REACH, len(found))
+        places = sorted({i + int(found[i : i + reach].argmin()) for i in range(len(found) - reach + 1) if reach})
+        assert (at[own] - begin).tolist() == places and hashes[own].tolist() == found[places].tolist()
+        lengths = [b + K - a for a, b in zip(places, places[1:], strict=False)] + [0] * bool(places)
+        of_spans = run_hashes(alone, np.array(places, np.int64), np.array(places, np.int64) + np.array(lengths, np.int64))
+        assert length[own].tolist() == lengths and (span[own].view(np.uint32) == of_spans >> np.uint64(32)).all()
+        own, first = (begin <= starts) & (starts < end), [i for i in [*range(9), *range(30, 200)] if i + 20 <= len(alone)]
+        assert (starts[own] - begin).tolist() == first
+        assert keys[own].tolist() == run_hashes(alone, np.array(first, np.int64), np.array(first, np.int64) + 20).tolist()
+
+
+def test_shuffles_of_a_saved_table_go_at_once(spark):
+    kept = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before = kept.size()
+    assert saved(spark.range(1000).groupBy("id").count(), "dropped", drop=True).count() == 1000
+    rows = spark.createDataFrame([(i, " ".join(map(str, range(90)))) for i in range(3)], "doc_id long, text string")
+    result = repeated_passages(rows)
+    # Only counting the first table's rows may have left a shuffle. The stretches are written before the result.
+    assert kept.size() <= before + 1
+    assert any("/stretches-" in path for path in result.inputFiles())
+
+
 def test_runs_are_spans_that_overlap():
     first, end = np.array([0, 6, 10, 30, 41]), np.array([11, 15, 20, 41, 60])
     assert runs(first, end) == [(0, 3), (3, 4), (4, 5)]
