@@ -231,8 +231,9 @@ def leaks(
     for part in range(parts):
         block = windows.filter(F.pmod(F.xxhash64("item_row", "at"), F.lit(parts)) == part).toPandas()
         if len(block):
-            rows = docs.select(F.col(id_column).alias("doc_id"), *text_keys(text), _finder(block)(whole_text(text)).alias("x"))
-            found = found.unionByName(rows.select("doc_id", *KEYS, F.inline("x")))
+            # Of a column by name, Spark would first ask whether it is empty, and search each text twice for that.
+            search = F.inline(_finder(block)(whole_text(text)))
+            found = found.unionByName(docs.select(F.col(id_column).alias("doc_id"), *text_keys(text), search))
     hits = found.groupBy("doc_id", *KEYS, "item_row").agg(
         F.count_distinct("start").alias("passages"), F.min("edits").alias("edits"), F.min("start").alias("start"), F.max("end").alias("end")
     )

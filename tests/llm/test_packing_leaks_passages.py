@@ -15,6 +15,7 @@ from texts import documents
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from salesaudit.llm import decontaminate
 from salesaudit.llm.decontaminate import Windows, aligned, drop_leaks, edit_budget, leaks, plain, shared_at_least
 from salesaudit.llm.packing import WordIds, pack, sum_of_squares, word_ids
 from salesaudit.llm.grams import hashes_of_all, rolled, run_hashes, word_hashes
@@ -181,6 +182,16 @@ def test_leaks_of_documents(spark):
 # --- shared passages ------------------------------------------------------
 
 
+def test_each_text_is_searched_once(spark):
+    item = " ".join(_prose(random.Random(3), 30))
+    plans, write = [], decontaminate.saved
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(decontaminate, "saved", lambda frame, *names: (plans.append(frame._jdf.queryExecution().executedPlan().toString()), write(frame, *names))[1])
+        found = leaks(documents(spark, [(1, item), (2, "other")]), spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert [r["doc_id"] for r in found.collect()] == [1]
+    assert [plan.count("ArrowEvalPython") for plan in plans] == [0, 0, 1]
+
+
 def test_every_exact_run_of_a_window_is_found(spark):
     """60 bytes of an item from any place in it, against plain search; other prose of the same words holds none."""
     rng = random.Random(31)
