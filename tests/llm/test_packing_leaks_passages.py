@@ -19,8 +19,8 @@ from salesaudit.llm import decontaminate
 from salesaudit.llm.decontaminate import Windows, aligned, drop_leaks, edit_budget, leaks, plain, shared_at_least
 from salesaudit.llm.packing import WordIds, pack, sum_of_squares, word_ids
 from salesaudit.llm.grams import hashes_of_all, rolled, run_hashes, word_hashes
-from salesaudit.llm.passages import GAP_COST, K, REACH, chains, drawn, repeated_passages, runs, seeds, spans, windows
-from salesaudit.llm.shared import saved
+from salesaudit.llm.passages import GAP_COST, K, REACH, chains, drawn, held_by_two, outer, repeated_passages, runs, seeds, spans, windows
+from salesaudit.llm.shared import ROW, saved
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 TOKENIZER = Tokenizer.from_file(VOCABULARY)
@@ -365,6 +365,35 @@ def test_words_are_shuffled_once_for_both_sides(spark):
     assert re.search(r"ReusedExchange \[[^\]\n]*words#", plan)
 
 
+def test_chains_are_aligned_once(spark):
+    rng = random.Random(23)
+    shared = _prose(rng, 80)
+    found = repeated_passages(documents(spark, [(doc, " ".join(_prose(rng, 20) + shared)) for doc in range(3)]))
+    assert {r["doc_id"] for r in found.collect()} == {0, 1, 2}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan[: plan.index("== Initial Plan ==")].count("ArrowEvalPython") == 1
+
+
+def test_the_outer_places_of_keys_in_two_rows(spark):
+    rng = random.Random(24)
+    texts = [[rng.randrange(12) for _ in range(rng.randrange(1, 9))] for _ in range(9)]
+    text = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    key = np.concatenate(texts)
+    first, last = outer(text, key)
+    rows = [(int(row), place, k) for row, own in enumerate(texts) for place, k in enumerate(own)]
+    assert first.tolist() == [k not in texts[row][:place] for row, place, k in rows]
+    assert last.tolist() == [k not in texts[row][place + 1 :] for row, place, k in rows]
+    assert [len(x) for x in outer(text[:0], key[:0])] == [0, 0]
+    flagged = [(*x, bool(a), bool(b)) for x, a, b in zip(rows, first, last, strict=True)]
+    each = spark.createDataFrame(rng.sample(flagged, len(flagged)), f"{ROW} long, place int, key int, is_first boolean, is_last boolean")
+    held = held_by_two(each, "key", "place")
+    places = {k: sorted((row, place) for row, place, own in rows if own == k) for k in range(12)}
+    expected = {(k, *x[0], *x[-1]) for k, x in places.items() if x and x[0][0] != x[-1][0]}
+    assert expected and {tuple(r) for r in held.select("key", "head_row", "head", "tail_row", "tail").collect()} == expected
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_texts_hashed_together_give_what_each_gives_alone():
     rng = random.Random(12)
     texts = ["", " \n", "a", "é\ud800 A", *("x " * n for n in (4, 5, 14, 15, 16, 17, 40))]
